@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gazette.llm import residue
+from gazette.llm import residue, scan
 from gazette.session import table
 
 QUERIES = {}
@@ -40,3 +40,18 @@ def p1_kinds(spark, sf_dir):
 def p1_kept(spark, sf_dir):
     """The announcements without residue."""
     return residue.without_residue(table(spark, sf_dir, "scraping_infos", ["id", "detail", "audit_status"])).select("id", "audit_status")
+
+
+# ---- problem 2: noise in text from scanned pages
+
+
+@query("p2_found")
+def p2_found(spark, sf_dir):
+    return scan.damage(table(spark, sf_dir, "scraping_infos", ["id", "detail"]))
+
+
+@query("p2_repaired")
+def p2_repaired(spark, sf_dir):
+    """The text of every damaged announcement in continuous paragraphs."""
+    r = scan.repaired(table(spark, sf_dir, "scraping_infos", ["id", "detail"]))
+    return r.filter(F.size("kinds") > 0).select("id", "text")
