@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gazette.llm import residue, scan
+from gazette.llm import encoding, residue, scan
 from gazette.session import table
 
 QUERIES = {}
@@ -55,3 +55,24 @@ def p2_repaired(spark, sf_dir):
     """The text of every damaged announcement in continuous paragraphs."""
     r = scan.repaired(table(spark, sf_dir, "scraping_infos", ["id", "detail"]))
     return r.filter(F.size("kinds") > 0).select("id", "text")
+
+
+# ---- problem 6: garbled text from wrong character encoding
+
+
+
+def host(url: str = "detail_url"):
+    """The site of a page: its host without www and m, lower case; '' without a page."""
+    return F.coalesce(F.regexp_extract(F.lower(F.trim(F.col(url))), "^[a-z]+://(?:www\\.|m\\.)?([^/:?#]+)", 1), F.lit(""))
+
+
+
+@query("p6_found")
+def p6_found(spark, sf_dir):
+    return encoding.found(table(spark, sf_dir, "scraping_infos", ["id", "keyword", "detail", "detail_url"]), "id", ["detail", "keyword"], host())
+
+
+@query("p6_restored")
+def p6_restored(spark, sf_dir):
+    """The original text of every garbled value, and whether all of it could be recovered."""
+    return encoding.restored(table(spark, sf_dir, "scraping_infos", ["id", "keyword", "detail", "detail_url"]), "id", ["detail", "keyword"], host())
