@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gazette.llm import encoding, residue, scan
+from gazette.llm import encoding, names, residue, scan
 from gazette.session import table
 
 QUERIES = {}
@@ -76,3 +76,25 @@ def p6_found(spark, sf_dir):
 def p6_restored(spark, sf_dir):
     """The original text of every garbled value, and whether all of it could be recovered."""
     return encoding.restored(table(spark, sf_dir, "scraping_infos", ["id", "keyword", "detail", "detail_url"]), "id", ["detail", "keyword"], host())
+
+
+# ---- problem 4: variant spellings of names typed by people
+
+
+def _p4(spark, sf_dir):
+    ref = names.reference_list(table(spark, sf_dir, "customer_alias_map", ["alias_pattern", "canonical_customer", "match_type"]))
+    a = table(spark, sf_dir, "scraping_infos", ["id", "project_owner"]).select(F.lit("scraping_infos").alias("t"), "id", F.col("project_owner").alias("name"))
+    b = table(spark, sf_dir, "sales_lead_confirm", ["id", "customer_name"]).select(F.lit("sales_lead_confirm").alias("t"), "id", F.col("customer_name").alias("name"))
+    both = a.unionByName(b).select(F.struct("t", "id").alias("key"), "name")
+    return names.linked(both, "key", "name", ref)
+
+
+@query("p4_found")
+def p4_found(spark, sf_dir):
+    return _p4(spark, sf_dir).select(F.col("row_id.t").alias("table_name"), F.col("row_id.id").alias("row_id"), F.col("canonical").alias("canonical_customer")).distinct()
+
+
+@query("p4_variants")
+def p4_variants(spark, sf_dir):
+    """How many rows write each listed institution in how many other ways."""
+    return _p4(spark, sf_dir).groupBy("canonical").agg(F.countDistinct("value").alias("n_spellings"), F.count("*").alias("n_rows"))
