@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gazette.llm import encoding, names, residue, scan
+from gazette.llm import encoding, names, residue, scan, truncation
 from gazette.session import table
 
 QUERIES = {}
@@ -98,3 +98,27 @@ def p4_found(spark, sf_dir):
 def p4_variants(spark, sf_dir):
     """How many rows write each listed institution in how many other ways."""
     return _p4(spark, sf_dir).groupBy("canonical").agg(F.countDistinct("value").alias("n_spellings"), F.count("*").alias("n_rows"))
+
+
+# ---- problem 5: text cut off by field limits
+
+P5_FIELDS = ["title", "project_owner", "winning_bidder"]
+
+
+@query("p5_found")
+def p5_found(spark, sf_dir):
+    d = table(spark, sf_dir, "scraping_infos", ["id", *P5_FIELDS, "detail_url"])
+    return truncation.judged(d, "id", P5_FIELDS, host()).select("id", "field").distinct()
+
+
+@query("p5_sites")
+def p5_sites(spark, sf_dir):
+    """How often each site truncates each field."""
+    return truncation.report(table(spark, sf_dir, "scraping_infos", ["id", *P5_FIELDS, "detail_url"]), "id", P5_FIELDS, host())
+
+
+@query("p5_limits")
+def p5_limits(spark, sf_dir):
+    """The lengths at which sites cut."""
+    v = truncation.values(table(spark, sf_dir, "scraping_infos", ["id", *P5_FIELDS, "detail_url"]), "id", P5_FIELDS, host())
+    return truncation.limits(v)
