@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gazette.llm import encoding, names, residue, scan, truncation
+from gazette.llm import encoding, history, names, residue, scan, truncation
 from gazette.session import table
 
 QUERIES = {}
@@ -122,3 +122,26 @@ def p5_limits(spark, sf_dir):
     """The lengths at which sites cut."""
     v = truncation.values(table(spark, sf_dir, "scraping_infos", ["id", *P5_FIELDS, "detail_url"]), "id", P5_FIELDS, host())
     return truncation.limits(v)
+
+
+# ---- problem 7: new batches against all history
+
+P7_COLS = ["id", "type", "sub_type", "title", "project_no", "detail_url", "detail", "created_at"]
+
+
+@query("p7_found")
+def p7_found(spark, sf_dir):
+    return history.repeats(table(spark, sf_dir, "scraping_infos", P7_COLS)).select("first_id", "id")
+
+
+@query("p7_last_batch")
+def p7_last_batch(spark, sf_dir):
+    """The last day's batch against an index of all days before it."""
+    ids = history.cut(history.identities(table(spark, sf_dir, "scraping_infos", P7_COLS)), "identities")
+    last = ids.agg(F.max("day").alias("last"))
+    before = ids.join(F.broadcast(last), F.col("day") < F.col("last")).drop("last")
+    batch = ids.join(F.broadcast(last), F.col("day") == F.col("last")).drop("last")
+    index = history.NoticeIndex(spark, history.rarity(before))
+    index.append(history.collapse(before))
+    hit = index.probe(history.collapse(batch)).filter("known is not null")
+    return batch.join(hit.select("view", "tokens", "known"), ["view", "tokens"]).groupBy("id").agg(F.min("known").alias("first_id"))
