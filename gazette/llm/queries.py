@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gazette.llm import encoding, history, names, residue, scan, truncation
+from gazette.llm import encoding, history, mixing, names, residue, scan, tokens, truncation
 from gazette.session import table
 
 QUERIES = {}
@@ -145,3 +145,40 @@ def p7_last_batch(spark, sf_dir):
     index.append(history.collapse(before))
     hit = index.probe(history.collapse(batch)).filter("known is not null")
     return batch.join(hit.select("view", "tokens", "known"), ["view", "tokens"]).groupBy("id").agg(F.min("known").alias("first_id"))
+
+
+# ---- problem 8: encoding with a public tokenizer
+
+
+@query("p8_ids")
+def p8_ids(spark, sf_dir):
+    return tokens.encoded(spread(table(spark, sf_dir, "documents", ["doc_id", "text"])))
+
+
+def spread(df):
+    """df over all cores: Python work on a table of few and small files would else run in few tasks."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(4 * cores) if df.rdd.getNumPartitions() < cores else df
+
+
+# ---- problem 9: mixing sources to target weights
+
+
+def _p9(spark, sf_dir):
+    docs = spread(table(spark, sf_dir, "documents", ["doc_id", "source", "text"]))
+    mix = table(spark, sf_dir, "mix_targets")
+    # the sizes are used several times: written once, so that no text is encoded again
+    return history.cut(tokens.counted(docs.join(F.broadcast(mix.select("source").distinct()), "source", "left_semi")), "sizes"), mix
+
+
+@query("p9_mix")
+def p9_mix(spark, sf_dir):
+    sizes, mix = _p9(spark, sf_dir)
+    return mixing.mixed(sizes, mix)
+
+
+@query("p9_shares")
+def p9_shares(spark, sf_dir):
+    """Target and actual share of each source."""
+    sizes, mix = _p9(spark, sf_dir)
+    return mixing.shares(sizes, mix, mixing.mixed(sizes, mix))
