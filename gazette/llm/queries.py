@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gazette.llm import encoding, history, mixing, names, residue, scan, tokens, truncation
+from gazette.llm import encoding, history, mixing, names, quality, residue, scan, tokens, truncation
 from gazette.session import table
 
 QUERIES = {}
@@ -182,3 +182,25 @@ def p9_shares(spark, sf_dir):
     """Target and actual share of each source."""
     sizes, mix = _p9(spark, sf_dir)
     return mixing.shares(sizes, mix, mixing.mixed(sizes, mix))
+
+
+# ---- problem 10: per-document text quality statistics
+
+
+@query("p10_found")
+def p10_found(spark, sf_dir):
+    docs = spread(table(spark, sf_dir, "documents", ["doc_id", "text"]))
+    return quality.judged(docs, table(spark, sf_dir, "common_words")).filter("kind is not null").select("doc_id", "kind").distinct()
+
+
+@query("p10_statistics", quality.STATISTICS_SQL)
+def p10_statistics(spark, sf_dir):
+    return quality.statistics(table(spark, sf_dir, "documents", ["doc_id", "text"]), table(spark, sf_dir, "common_words"))
+
+
+@query("p10_profiles")
+def p10_profiles(spark, sf_dir):
+    """How many documents are nearest to which profile, and how far from prose they are."""
+    docs = spread(table(spark, sf_dir, "documents", ["doc_id", "text"]))
+    j = quality.judged(docs, table(spark, sf_dir, "common_words"))
+    return j.groupBy("profile").agg(F.count("*").alias("n"), F.avg("divergence").alias("divergence"))
