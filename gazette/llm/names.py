@@ -248,9 +248,9 @@ def links(values: DataFrame, reference: DataFrame, shard_forms: int = SHARD_FORM
 
         return v.mapInPandas(run, "value string, canonical string, errors int")
     r = reference.withColumn("shard", F.pmod(F.xxhash64("canonical"), F.lit(shards)).cast("int"))
-    q = v.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).withColumn("block", F.pmod(F.xxhash64("value"), F.lit(max(8, spark.sparkContext.defaultParallelism))).cast("int"))
-    blocks = q.select("block").distinct()
-    r = r.join(blocks)
+    n_blocks = max(8, spark.sparkContext.defaultParallelism)
+    q = v.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).withColumn("block", F.pmod(F.xxhash64("value"), F.lit(n_blocks)).cast("int"))
+    r = r.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
 
     def pair(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         trie = Trie([(f, c, k) for c, a in zip(right["canonical"], right["aliases"]) for f, k in forms(c, list(a) if a is not None else [])])
