@@ -55,5 +55,11 @@ def table(spark: SparkSession, sf_dir: str, name: str, columns: list[str] | None
     return df.select(*columns) if columns else df
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores: work on a table of few and small files would else run in few tasks.  Large tables stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(2 * cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def distinct_rows(df: DataFrame, *cols: str) -> DataFrame:
     return df.groupBy(*[F.col(c) for c in cols]).agg(F.lit(1).alias("__n")).drop("__n")
