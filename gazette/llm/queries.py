@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gazette.llm import encoding, history, mixing, names, quality, residue, scan, tokens, truncation
-from gazette.session import table
+from gazette.session import spread, table
 
 QUERIES = {}
 SQL = {}
@@ -26,13 +26,13 @@ def query(name: str, sql: str | None = None):
 
 @query("p1_found")
 def p1_found(spark, sf_dir):
-    return residue.residue(table(spark, sf_dir, "scraping_infos", ["id", "detail", "audit_status"])).select("id", "field").distinct()
+    return residue.residue(spread(table(spark, sf_dir, "scraping_infos", ["id", "detail", "audit_status"]))).select("id", "field").distinct()
 
 
 @query("p1_kinds")
 def p1_kinds(spark, sf_dir):
     """How many values of each field hold which kind of residue."""
-    r = residue.residue(table(spark, sf_dir, "scraping_infos", ["id", "detail", "audit_status"]))
+    r = residue.residue(spread(table(spark, sf_dir, "scraping_infos", ["id", "detail", "audit_status"])))
     return r.groupBy("field", "kind").agg(F.count("*").alias("n"))
 
 
@@ -47,13 +47,13 @@ def p1_kept(spark, sf_dir):
 
 @query("p2_found")
 def p2_found(spark, sf_dir):
-    return scan.damage(table(spark, sf_dir, "scraping_infos", ["id", "detail"]))
+    return scan.damage(spread(table(spark, sf_dir, "scraping_infos", ["id", "detail"])))
 
 
 @query("p2_repaired")
 def p2_repaired(spark, sf_dir):
     """The text of every damaged announcement in continuous paragraphs."""
-    r = scan.repaired(table(spark, sf_dir, "scraping_infos", ["id", "detail"]))
+    r = scan.repaired(spread(table(spark, sf_dir, "scraping_infos", ["id", "detail"])))
     return r.filter(F.size("kinds") > 0).select("id", "text")
 
 
@@ -69,7 +69,7 @@ def host(url: str = "detail_url"):
 
 @query("p6_found")
 def p6_found(spark, sf_dir):
-    return encoding.found(table(spark, sf_dir, "scraping_infos", ["id", "keyword", "detail", "detail_url"]), "id", ["detail", "keyword"], host())
+    return encoding.found(spread(table(spark, sf_dir, "scraping_infos", ["id", "keyword", "detail", "detail_url"])), "id", ["detail", "keyword"], host())
 
 
 @query("p6_restored")
@@ -107,7 +107,7 @@ P5_FIELDS = ["title", "project_owner", "winning_bidder"]
 
 @query("p5_found")
 def p5_found(spark, sf_dir):
-    d = table(spark, sf_dir, "scraping_infos", ["id", *P5_FIELDS, "detail_url"])
+    d = spread(table(spark, sf_dir, "scraping_infos", ["id", *P5_FIELDS, "detail_url"]))
     return truncation.judged(d, "id", P5_FIELDS, host()).select("id", "field").distinct()
 
 
@@ -155,12 +155,6 @@ def p8_ids(spark, sf_dir):
     return tokens.encoded(spread(table(spark, sf_dir, "documents", ["doc_id", "text"])))
 
 
-def spread(df):
-    """df over all cores: Python work on a table of few and small files would else run in few tasks."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(4 * cores) if df.rdd.getNumPartitions() < cores else df
-
-
 # ---- problem 9: mixing sources to target weights
 
 

@@ -10,7 +10,8 @@ where they are cut differs by orders of magnitude; the cut level of a field is t
 A value is flagged if it ends in a mark of omission, in a context at cut level, or, at a significant length, in a context
 not clearly above it.
 
-Everything is DataFrame work: values are counted before their contexts are taken apart, and no group is gathered.
+Everything is DataFrame work: values are counted before their contexts are taken apart, and no group is gathered.  The
+limits and the endings, small tables that several steps use, are written once to the shared folder.
 
 Defined results: NULL and blank values are no case; values shorter than two characters are complete; short, abbreviated
 or mistyped values end like others of their kind and are complete; repeated rows are each reported.
@@ -22,6 +23,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from gazette.session import cut
+
 MARK = "(?:…|\\.{2,}|\\ufffd|～{2,}|-{3,})+$"
 FDR = 0.01
 REACH = 3  # neighbouring lengths on each side
@@ -105,8 +108,8 @@ def bars(e: DataFrame) -> DataFrame:
 def judged(df: DataFrame, id_col: str, fields: list[str], site: Column) -> DataFrame:
     """id, field, site, how (mark, limit or transfer) of every value that lost its end."""
     v = values(df, id_col, fields, site)
-    v = _at_limit(v, limits(v))
-    e = endings(v)
+    v = _at_limit(v, cut(limits(v), "limits"))
+    e = cut(endings(v), "endings")
     e = e.join(F.broadcast(bars(e)), "field").select("field", "context", (F.col("share") < F.col("bar")).alias("cut"), (F.col("share") < F.col("wide")).alias("cut_at_limit")).filter("cut_at_limit")
     ctx = F.substring("v", -2, 2)
     d = v.withColumn("context", ctx)
