@@ -152,7 +152,9 @@ def stream_marks(spark, sf):
     path = f"{sf}/item_read_log.parquet"
     # a pattern, as a stream takes folders or patterns, and a table may be one file
     stream = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{sf}/item_read_log.parque[t]")
-    streams.run_available(streams.marks(_events(stream)), lambda b, n: b.withColumn("batch", F.lit(n)).write.mode("append").parquet(f"{at}/out"), f"{at}/checkpoint")
+    marks = streams.marks(_events(stream))
+    spark.createDataFrame([], marks.schema).withColumn("batch", F.lit(0).cast("long")).write.parquet(f"{at}/out")  # so that there is a table without any read
+    streams.run_available(marks, lambda b, n: b.withColumn("batch", F.lit(n).cast("long")).write.mode("append").parquet(f"{at}/out"), f"{at}/checkpoint")
     return spark.read.parquet(f"{at}/out").groupBy(*streams.KEYS).agg(F.max_by("read_at", "batch").alias("read_at"))
 
 
