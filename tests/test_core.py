@@ -205,3 +205,5 @@ def test_bounded_sample(spark):
     a = [r["id"] for r in sampling.bounded_sample(d, F.col("id"), 100).collect()]
     b = [r["id"] for r in sampling.bounded_sample(d.repartition(7), F.col("id"), 100).collect()]
     assert len(a) == 100 and sorted(a) == sorted(b)
+    twice = d.unionByName(d).unionByName(d)
+    assert sorted(a) == sorted(r["id"] for r in sampling.bounded_sample(twice, F.col("id"), 100, distinct=True).collect())
