@@ -82,9 +82,16 @@ def total(df: DataFrame, flt: ListFilter) -> DataFrame:
 def facets(df: DataFrame, flt: ListFilter) -> DataFrame:
     """Counts beside a list, each without its own filter: kinds without kind and product, products without product and
     publication."""
-    kinds = df.filter(flt.column(("sub_type", "product"))).agg(F.coalesce(F.count_if(F.trim("sub_type").isin(*TENDER_GROUP)), F.lit(0)).alias("tenders"), F.coalesce(F.count_if(F.trim("sub_type").isin(*AWARD_GROUP)), F.lit(0)).alias("awards"), F.count("*").alias("all_kinds"))
-    products = df.filter(flt.column(("product", "published"))).agg(F.coalesce(F.count_if(F.contains("product_related", F.lit("软件"))), F.lit(0)).alias("software"), F.coalesce(F.count_if(F.contains("product_related", F.lit("硬件"))), F.lit(0)).alias("hardware"))
-    return kinds.crossJoin(products)  # one row each
+    kinds, products = (F.coalesce(flt.column(skip), F.lit(False)) for skip in (("sub_type", "product"), ("product", "published")))
+    n = lambda c: F.count_if(F.coalesce(c, F.lit(False)))
+    sub = F.trim("sub_type")
+    return df.filter(kinds | products).agg(
+        n(kinds & sub.isin(*TENDER_GROUP)).alias("tenders"),
+        n(kinds & sub.isin(*AWARD_GROUP)).alias("awards"),
+        n(kinds).alias("all_kinds"),
+        n(products & F.contains("product_related", F.lit("软件"))).alias("software"),
+        n(products & F.contains("product_related", F.lit("硬件"))).alias("hardware"),
+    )
 
 
 def options(df: DataFrame, col: str) -> DataFrame:
