@@ -92,6 +92,7 @@ def _fits(cells: DataFrame) -> DataFrame:
 
 def mixed(sizes: DataFrame, mix: DataFrame, total: int | None = None, seed: int = 42, id_col: str = "doc_id") -> DataFrame:
     """doc_id, source, n_tokens, copies of every record that is used."""
+    sizes = sizes.select(id_col, "source", "n_tokens")  # further columns may have any name
     q = quotas(sizes, mix, total)
     c = scales(sizes, q)
     p = F.least(F.lit(1.0), F.col("c") * F.col("n_tokens"))

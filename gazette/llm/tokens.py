@@ -178,8 +178,8 @@ def encoded(df: DataFrame, id_col: str = "doc_id", text: str = "text", name: str
 
 
 def counted(df: DataFrame, text: str = "text", name: str = "byte_bpe_50k", folder: str = FOLDER) -> DataFrame:
-    """df without its text and with `n_tokens`, the number of ids of the text."""
-    rest = [c for c in df.columns if c != text]
+    """df without its text and with `n_tokens`, the number of ids of the text (in place of a column of that name)."""
+    rest = [c for c in df.columns if c not in (text, "n_tokens")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bpe = tokenizer(name, folder)
@@ -188,5 +188,5 @@ def counted(df: DataFrame, text: str = "text", name: str = "byte_bpe_50k", folde
             sizes = [len(x) for i, j in _blocks(texts) for x in bpe.encode(texts[i:j])]
             yield b[rest].assign(n_tokens=np.array(sizes, dtype=np.int64))
 
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name != text] + ["n_tokens long"])
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name in rest] + ["n_tokens long"])
     return df.mapInPandas(run, schema)

@@ -276,7 +276,7 @@ def test_encoded_rows(spark):
     got = sorted((r["doc_id"], len(r["ids"])) for r in tokens.encoded(d).collect())
     assert [g for g in got if g[0] in (2, 3)] == [(2, 0), (3, 0), (3, 0)] and len(got) == 5
     assert tokens.encoded(d.limit(0)).count() == 0
-    assert sorted(r["n_tokens"] for r in tokens.counted(d).collect())[:3] == [0, 0, 0]
+    assert sorted(r["n_tokens"] for r in tokens.counted(d.withColumn("n_tokens", F.lit("clash"))).collect())[:3] == [0, 0, 0]
 
 
 # ---------------------------------------------------------------- problem 9
@@ -299,6 +299,8 @@ def test_mixing(spark):
     assert len({r["doc_id"] for r in u}) == len(u) and sorted(map(str, u)) == sorted(str(r.asDict()) for r in mixing.mixed(sizes.repartition(7), mix).collect())
     s = {r["source"]: r for r in mixing.shares(sizes, mix, used).collect()}
     assert s["big"]["met"] and not s["tiny"]["met"] and not s["absent"]["met"] and abs(sum(r["actual_share"] for r in s.values()) - 1) < 1e-9
+    clash = sizes.withColumns({"c": F.lit(1), "copies": F.lit("x"), "limit": F.lit(2), "rest": F.lit(3)})
+    assert mixing.mixed(clash, mix).count() == len(u)
     assert mixing.mixed(sizes.limit(0), mix).count() == 0
 
 
