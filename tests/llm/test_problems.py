@@ -84,6 +84,18 @@ def test_scan_furniture(scan_model):
     assert scan_model.repair([None, "", "  ", "x"]) == [(None, []), ("", []), ("  ", []), ("x", [])]
 
 
+def test_scan_furniture_of_all_forms():
+    """Every form the detection knows reaches it: counted running lines, numbers in brackets, texts of few lines."""
+    body = ["系统应提供gateway、middleware以及配套的gateway服务", "并支持middleware场景下的自动切换，供应商每年应开展", "三次演练，演练报告须附encryption日志与整改建议，近", "年内无重大违法记录，且未被列入失信被执行人名单，投", "标人应具备同类项目实施案例，并提供合同关键页复印件", "，本项目不接受联合体投标，也不允许转包和分包。"]
+    title = "某行人脸识别终端运维外包服务项目    %d"
+    kept, header, page = scan.furniture("\n".join([title % 4, *body[:3], title % 5, *body[3:], title % 6]))
+    assert kept == body and header and page
+    for mark in ("[3]", "（ 3 ）", "共 9 页 第 3 页", "第 3 页"):
+        assert scan.furniture("\n".join([*body[:3], mark, *body[3:]])) == (body, False, True)
+        assert scan.furniture("\n".join([body[0], mark, body[1]])) == (body[:2], False, True)
+    assert scan.furniture("\n".join(body)) == (body, False, False) and scan.furniture(title % 4) == ([title % 4], False, False)
+
+
 def test_scan_rows(spark):
     rows = [(i, t) for i, t in enumerate(clean_texts(150))] + [(900, None), (901, ""), (902, clean_texts(1)[0].replace("投标人", "役标人")), (903, "长" * 60000)]
     d = spark.createDataFrame(rows, "id long, detail string").withColumn("kind", F.lit(0))
