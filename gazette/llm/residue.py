@@ -17,7 +17,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # One grammar per delimiter; each names one blank to be filled.
@@ -57,21 +57,12 @@ TUTORIAL = re.compile(r"格式|填写|示例[:：]|变量|标注|语法|教程|
 ENTRY = re.compile(r"^\s*[\w（）()/ ]{1,16}[:：]\s*(.*)$")
 WORDS = re.compile(r"[a-z]{3,}", re.I)
 ENGLISH = re.compile(r"\b(?:the|of|and|to|is|for|in|on|with|by|be|shall|this|that|your|you|page|from|are|at|or)\b", re.I)
-# Signs of filler that may be long; anything else that is a case holds fewer than GATE_MARKS sentence ends.
-FILLER_SIGNS = ("占位", "示例", "样例", "勿删", "请勿处理", "建设中", "测试测试", "asdf", "orem", "psum", "{{", "${", "<%", "@@")
-GATE_MARKS = 4
+# One sentence over and over with REPEAT_MARKS or more sentence ends counts only beside one of these signs.
+REPEAT_SIGNS = ("占位", "示例", "样例", "勿删", "请勿处理", "建设中", "测试测试", "asdf", "orem", "psum", "{{", "${", "<%", "@@")
+REPEAT_MARKS = 4
 JUNK = {"test", "demo", "asdf", "aaa", "xxx", "abc", "qwe", "123", "111", "测试", "正文", "内容", "文本", "标题"}
 
 
-def gate(c: Column) -> Column:
-    """Whether a text can be a case at all: it has hardly a finished sentence, or a sign of filler.  JVM only."""
-    marks = F.char_length(c) - F.char_length(F.translate(c, "。；", ""))
-    sign = F.lit(False)
-    for x in FILLER_SIGNS:
-        sign = sign | F.contains(c, F.lit(x))
-    return (marks < GATE_MARKS) | sign
-
-
 def _segments(text: str) -> list[str]:
     return [s.strip() for line in text.splitlines() for s in re.split(r"[ 　\t]{2,}", line) if s.strip()]
 
@@ -83,10 +74,10 @@ def _unfilled(value: str) -> bool:
     return not re.sub(r"[\W_]|年|月|日|时|分|元|万", "", PLACEHOLDER.sub("", value))
 
 
-def _repeats(text: str) -> bool:
-    """One short sentence over and over, or a handful of tokens shuffled."""
+def _repeats(text: str, whole: str) -> bool:
+    """One short sentence over and over, or a handful of tokens shuffled; whole: the text with its heading."""
     parts = [p for p in re.split(r"[。！!.\n]", text) if p.strip()]
-    if len(parts) >= 2 and len({p.strip() for p in parts}) == 1:
+    if len(parts) >= 2 and len({p.strip() for p in parts}) == 1 and (text.count("。") + text.count("；") < REPEAT_MARKS or any(x in whole for x in REPEAT_SIGNS)):
         return True
     tokens = text.split()
     return len(tokens) >= 3 and sum(t.lower() in JUNK for t in tokens) >= 0.8 * len(tokens)
@@ -132,7 +123,7 @@ def classify(text: str | None) -> str | None:
     chars = sum(len(s) for s in body if FILLER.search(s))
     if chars >= 0.5 * sum(map(len, body)) or (size < 400 and _fills(rest)):
         return "filler"
-    if _repeats(rest) or _pseudo_latin(rest):
+    if _repeats(rest, text) or _pseudo_latin(rest):
         return "filler"
     if size <= 220:
         parts = [p for s in body for p in re.split(r"(?<=[。；！])", s) if p]
@@ -165,12 +156,11 @@ def classify_short(value: str | None) -> str | None:
 def residue(df: DataFrame, id_col: str = "id", long_fields: tuple[str, ...] = ("detail",), short_fields: tuple[str, ...] = ("audit_status",)) -> DataFrame:
     """id, field, kind of every field value that holds residue instead of content.
 
-    Short fields are decided on their distinct values, which are joined back; long ones where the JVM's gate finds any
-    sign at all.
+    Short fields are decided on their distinct values, which are joined back; of long ones every text is read.
     """
     out = None
     for f in long_fields:
-        d = df.filter(gate(F.col(f))).select(F.col(id_col).alias("id"), F.col(f).alias("text"))
+        d = df.filter(F.col(f).rlike("\\S")).select(F.col(id_col).alias("id"), F.col(f).alias("text"))
 
         def run(batches: Iterator[pd.DataFrame], f=f) -> Iterator[pd.DataFrame]:
             for b in batches:

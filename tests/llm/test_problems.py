@@ -43,6 +43,15 @@ def test_residue_rows(spark):
     assert [r["id"] for r in residue.without_residue(d).collect()] == [3] and residue.residue(d.limit(0)).count() == 0
 
 
+def test_residue_reads_texts_of_many_sentences(spark):
+    texts = ["这里是正文内容测试数据。" * 5, "敬请期待。" * 6, "待补充；" * 6, "采购人：____；\n编号：____；\n预算：____；\n日期：____；", "好的公告。" * 9, "项目结果公示如下；供应商应提供服务；交付物包括源代码；本项目不接受联合体投标。"]
+    d = spark.createDataFrame([(i, t, None) for i, t in enumerate(texts)], "id long, detail string, audit_status string")
+    want = {i for i, t in enumerate(texts) if residue.classify(t)}
+    assert {0, 1, 2, 3} <= want and 5 not in want
+    assert {r["id"] for r in residue.residue(d).collect()} == want
+    assert {r["id"] for r in residue.without_residue(d).select("id").collect()} == set(range(len(texts))) - want
+
+
 # ---------------------------------------------------------------- problem 2
 
 SENTENCES = ["系统应提供gateway、middleware以及配套的gateway服务，并支持middleware场景下的自动切换。", "供应商每年应开展3次recovery演练，演练报告须附encryption日志与整改建议。", "投标人应具备同类项目实施案例不少于5个，并提供合同关键页复印件。", "近三年内无重大违法记录，且未被列入失信被执行人名单。", "本项目不接受联合体投标，不允许转包和分包。", "交付物包括源代码、部署手册、deployment测试报告等。"]
