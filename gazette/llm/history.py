@@ -168,6 +168,14 @@ def blocks(ids: DataFrame, n: int) -> list[tuple]:
     return out
 
 
+def within(a, b) -> Column:
+    """The rows of a span of `blocks`; a span that begins at NULL holds the rows without a day too."""
+    day = F.col("day")
+    if b is None:
+        return day.isNull()
+    return (day.isNull() | (day <= F.lit(b))) if a is None else (day >= F.lit(a)) & (day <= F.lit(b))
+
+
 def repeats(df: DataFrame, n_blocks: int = 3, index: NoticeIndex | None = None) -> DataFrame:
     """first_id, id of every row that publishes a notice again.
 
@@ -179,8 +187,7 @@ def repeats(df: DataFrame, n_blocks: int = 3, index: NoticeIndex | None = None)
     index = index or NoticeIndex(spark, rarity(ids))
     firsts = None
     for a, b in blocks(ids, n_blocks):
-        day = (F.col("day") >= F.lit(a)) if a is not None else F.lit(True)
-        batch = ids.filter(day & (F.col("day") <= F.lit(b)) if b is not None else F.col("day").isNull())
+        batch = ids.filter(within(a, b))
         new = cut(index.probe(collapse(batch)), "probed")
         index.append(new.filter("known is null"))
         new = new.select("view", "tokens", F.coalesce("known", "first").alias("key"))

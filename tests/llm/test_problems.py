@@ -249,6 +249,16 @@ def test_history(spark):
     assert history.repeats(d.limit(0)).count() == 0
 
 
+def test_history_without_days(spark):
+    t = dt.datetime
+    rows = [(1, "http://a.example/1.htm", None), (2, "http://a.example/2.htm", t(2025, 1, 1)), (3, "http://m.a.example/1.htm", None), (4, "http://a.example/2.htm", t(2025, 1, 2)), (5, "http://a.example/5.htm", t(2025, 1, 3)), (6, "http://a.example/5.htm", None)]
+    full = [(i, None, None, None, None, u, None, c) for i, u, c in rows]
+    d = spark.createDataFrame(full, "id long, type string, sub_type string, title string, project_no string, detail_url string, detail string, created_at timestamp_ntz")
+    for n in (1, 3):
+        assert {(r["first_id"], r["id"]) for r in history.repeats(d, n).collect()} == {(1, 3), (2, 4), (5, 6)}
+    assert {(r["first_id"], r["id"]) for r in history.repeats(d.filter("created_at is null")).collect()} == {(1, 3)}
+
+
 def test_index_grows(spark):
     notice = lambda *ts: [("v", list(t), i) for i, t in ts]
     ix = history.NoticeIndex(spark, ["n", "s"], share=1.0, buckets=3)
