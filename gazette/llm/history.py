@@ -201,14 +201,19 @@ def repeats(df: DataFrame, n_blocks: int = 3, index: NoticeIndex | None = None)
     return components(edges).filter("label < id").select(F.col("label").alias("first_id"), "id")
 
 
-def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
-    """id, label: the smallest id reachable over shared keys (view, key); edges: id, view, key."""
+def components(edges: DataFrame) -> DataFrame:
+    """id, label: the smallest id reachable over shared keys (view, key); edges: id, view, key.
+
+    Runs until no label changes, which comes since labels only fall.  Each round also takes the label of the label, so
+    that long chains need few rounds.
+    """
     label = edges.groupBy("id").agg(F.min("id").alias("label"))
-    for _ in range(rounds):
+    while True:
         by_key = edges.join(label, "id").groupBy("view", "key").agg(F.min("label").alias("low"))
-        new = cut(edges.join(by_key, ["view", "key"]).groupBy("id").agg(F.min("low").alias("label")), "labels")
+        low = edges.join(by_key, ["view", "key"]).groupBy("id").agg(F.min("low").alias("near"))
+        jump = label.select(F.col("id").alias("near"), F.col("label").alias("far"))
+        new = cut(low.join(jump, "near").select("id", F.least("near", "far").alias("label")), "labels")
         changed = new.join(label.withColumnRenamed("label", "old"), "id").filter(F.col("label") < F.col("old")).limit(1).count()
         label = new
         if not changed:
-            break
-    return label
+            return label

@@ -259,6 +259,11 @@ def test_history_without_days(spark):
     assert {(r["first_id"], r["id"]) for r in history.repeats(d.filter("created_at is null")).collect()} == {(1, 3)}
 
 
+def test_components_of_a_long_chain(spark):
+    edges = spark.createDataFrame([(i, "v", k) for i in range(120) for k in (i, i + 1)], "id long, view string, key long")
+    assert {r["label"] for r in history.components(edges).collect()} == {0}
+
+
 def test_index_grows(spark):
     notice = lambda *ts: [("v", list(t), i) for i, t in ts]
     ix = history.NoticeIndex(spark, ["n", "s"], share=1.0, buckets=3)
