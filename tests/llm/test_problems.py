@@ -105,6 +105,12 @@ def test_scan_furniture_of_all_forms():
     assert scan.furniture("\n".join(body)) == (body, False, False) and scan.furniture(title % 4) == ([title % 4], False, False)
 
 
+def test_scan_rn_for_m_anywhere_in_a_word():
+    reader = scan.Reader()
+    reader.words = {"platform", "middleware", "modern"}
+    assert reader.unsplit("系统应提供platforrn、rniddleware与modern服务。") == "系统应提供platform、middleware与modern服务。"
+
+
 def test_scan_rows(spark):
     rows = [(i, t) for i, t in enumerate(clean_texts(150))] + [(900, None), (901, ""), (902, clean_texts(1)[0].replace("投标人", "役标人")), (903, "长" * 60000)]
     d = spark.createDataFrame(rows, "id long, detail string").withColumn("kind", F.lit(0))
