@@ -1,14 +1,20 @@
 """Checking new batches against everything accepted before (problem 7).
 
 A notice has two identities: the page (site and path) and the project (number, stage, lot, round), each a set of tokens.
-Two rows are the same notice if all tokens of an identity agree.  `NoticeIndex` is an inverted index on disk, in the
-shared folder, partitioned by token: a notice is posted under its rarest tokens only (the prefix that the required
-overlap leaves: |x| - t + 1 tokens in the global order of token kinds by rarity; with all tokens required, one).  A batch
-is first collapsed to its distinct notices, then its prefixes probe the index, lengths are filtered, the overlap is
-verified, and the notices that are new are appended.  History is never read again, only the postings of probed tokens.
+Two rows are the same notice if all tokens of an identity agree.  Titles that are nearly the same are found by the same
+index over five-character shingles with a similarity of 0.8 (`title_notices`).
+
+`NoticeIndex` is an inverted index in the shared folder: a table of postings, bucketed by token.  A notice is posted under
+its rarest tokens only, by document frequency (`Rarity`): with a similarity of `share` that must be reached, the first
+|x| - ceil(share |x|) + 1 tokens; with all tokens required, one.  A batch is collapsed to its distinct notices, its
+prefixes are sent to the buckets and probe the index there, lengths are filtered, the overlap is verified, and the notices
+that are new are appended as a part of their own.  The index is never shuffled or rewritten; a probe reads its token
+column and the postings of the batch's tokens.  `compact` merges the parts.
 
 Rows that agree by page with one row and by project with another make one group; groups are found by label propagation
-over the (few) identities that more than one row has.
+over the (few) notices that more than one row has.
+
+Building the result runs the batches one after the other, as each needs the index of those before it.
 
 Defined results: NULL or blank page and number leave a row without that identity, without both it repeats nothing;
 copies of a row are repeats of the first; an empty table gives an empty result; columns that aren't used may have any name.
@@ -23,7 +29,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gazette.operators.units import let
-from gazette.session import cut, shared_dir
+from gazette.session import cut, exists, remove, shared_dir
+
+SMALL = 200_000  # rows up to which a counted side is broadcast
+HEAVY = 512  # a token that more than one in so many notices has is heavy
+CELLS = 65_536  # counters in which document frequencies are counted first
 
 # Kinds of notice, and full-width forms.
 STAGES = ["招标公告", "采购公告", "竞争性磋商公告", "竞争性谈判公告", "询价公告", "资格预审公告", "变更公告", "更正公告", "流标公告", "废标公告", "终止公告", "中标结果公告", "成交结果公示", "评标结果公示", "中标公示", "合同公告"]
@@ -98,61 +108,148 @@ def identities(df: DataFrame) -> DataFrame:
     return d.select("id", "day", F.col("v.view").alias("view"), F.col("v.tokens").alias("tokens"))
 
 
+class Rarity:
+    """The global order of tokens: by tiers of document frequency, rare ones first, then by the token itself.
+
+    Heavy are at most HEAVY times as many tokens as a notice has; their frequencies are counted exactly, all others are
+    one tier.  The order is fixed when an index begins: any order is right, a good one is fast.
+    """
+
+    def __init__(self, tiers: list[list[str]] | None = None):
+        self.tiers = tiers or []
+
+    @classmethod
+    def fit(cls, notices: DataFrame) -> "Rarity":
+        """By the tokens of notices (tokens: an array): counters by hash of the token, then the tokens of full counters."""
+        t = notices.select(F.explode("tokens").alias("t"))
+        cell = F.pmod(F.xxhash64("t"), F.lit(CELLS))
+        n = notices.count()
+        least = max(2, n // HEAVY)
+        full = [r["c"] for r in t.groupBy(cell.alias("c")).agg(F.count("*").alias("k")).filter(F.col("k") >= least).collect()]
+        if not full:
+            return cls()
+        heavy = t.filter(cell.isin(full)).groupBy("t").agg(F.count("*").alias("k")).filter(F.col("k") >= least).collect()
+        tiers: dict[int, list[str]] = {}
+        for r in heavy:
+            tiers.setdefault((r["k"] // least).bit_length(), []).append(r["t"])
+        return cls([sorted(tiers[k]) for k in sorted(tiers)])
+
+    def rank(self, t: Column) -> Column:
+        c = F.lit(0)
+        for k, tokens in enumerate(self.tiers):
+            c = F.when(t.isin(tokens), F.lit(k + 1)).otherwise(c)
+        return c
+
+
+class Kinds(Rarity):
+    """An order given by the kinds of tokens (their first letter), rarest kind first."""
+
+    def __init__(self, kinds: list[str]):
+        super().__init__()
+        self.kinds = kinds
+
+    def rank(self, t: Column) -> Column:
+        c = F.lit(len(self.kinds))
+        for k, kind in enumerate(self.kinds):
+            c = F.when(F.substring(t, 1, len(kind)) == kind, F.lit(k)).otherwise(c)
+        return c
+
+
 class NoticeIndex:
     """Inverted index of rare-token prefixes of notices, growing by appended parts in the shared folder.
 
-    share: the part of a notice's tokens that must agree.  order: token kinds, rarest first (by average document
-    frequency, from `rarity`); any fixed order is right, a good one is fast.
+    share: the Jaccard similarity of token sets that makes two notices the same; 1: all tokens.  A path that exists is
+    taken up again; `order` has to be that with which it was begun.
     """
 
-    SCHEMA = "token string, view string, first bigint, tokens array<string>, bucket int"
+    COLUMNS = ["token", "view", "first", "n", "tokens", "known", "part"]
 
-    def __init__(self, spark: SparkSession, order: list[str], path: str | None = None, share: float = 1.0, buckets: int = 16):
-        self.spark, self.order, self.share, self.buckets = spark, order, share, buckets
+    def __init__(self, spark: SparkSession, order: Rarity | list[str], path: str | None = None, share: float = 1.0, buckets: int | None = None):
+        self.spark, self.share = spark, share
+        self.order = order if isinstance(order, Rarity) else Kinds(order)
         self.path = path or f"{shared_dir(spark)}/notices-{uuid.uuid4().hex}"
-        self.parts = 0
+        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.name = f"notices_{uuid.uuid4().hex}"
+        spark.sql(f"CREATE TABLE {self.name} (token STRING, view STRING, first BIGINT, n BIGINT, tokens ARRAY<STRING>, known BIGINT, part INT) USING parquet PARTITIONED BY (part) CLUSTERED BY (token) INTO {self.buckets} BUCKETS LOCATION '{self.path}'")
+        if path and exists(spark, path):
+            spark.sql(f"MSCK REPAIR TABLE {self.name}")
+        last = self.rows().agg(F.max("part")).first()[0]
+        self.parts = 0 if last is None else last + 1
+
+    def rows(self) -> DataFrame:
+        """All notices that were probed or appended: token, view, first, n (rows), tokens, known (the row they repeat)."""
+        return self.spark.table(self.name)
+
+    def postings(self) -> DataFrame:
+        """The notices that were new when they came, under their prefixes."""
+        return self.rows().filter("known is null").select("token", "view", "first", "tokens")
 
     def prefixes(self, notices: DataFrame) -> DataFrame:
         """notices with `token` exploded: the tokens under which each is posted and probed."""
-        rank = F.create_map(*[x for i, k in enumerate(self.order) for x in (F.lit(k), F.lit(i))])
-        key = lambda t: F.struct(F.coalesce(F.try_element_at(rank, F.substring(t, 1, 1)), F.lit(99)).alias("r"), t.alias("t"))
+        key = lambda t: F.struct(self.order.rank(t).alias("r"), t.alias("t"))
+        size = F.size("tokens")
+        keep = (size - F.ceil(size * self.share) + 1).cast("int")
+        if self.share >= 1:  # the least is enough, without sorting
+            return notices.withColumn("token", F.array_min(F.transform("tokens", key))["t"])
         ordered = F.transform(F.array_sort(F.transform("tokens", key)), lambda x: x["t"])
-        need = F.ceil(F.size("tokens") * self.share)
-        keep = (F.size("tokens") - need + 1).cast("int")
-        d = notices.withColumn("token", F.explode(F.slice(ordered, F.lit(1), keep)))
-        return d.withColumn("bucket", F.pmod(F.xxhash64("token"), F.lit(self.buckets)).cast("int"))
+        return notices.withColumn("token", F.explode(F.slice(ordered, F.lit(1), keep)))
 
-    def postings(self) -> DataFrame:
+    def _met(self, notices: DataFrame) -> DataFrame:
+        """Prefixes of the notices, each with `known`: the first row of the same notice under its token, or NULL."""
+        p = self.prefixes(notices)
         if not self.parts:
-            return self.spark.createDataFrame([], self.SCHEMA)
-        return self.spark.read.schema(self.SCHEMA).option("basePath", self.path).parquet(*[f"{self.path}/part={i}" for i in range(self.parts)])
+            return p.withColumn("known", F.lit(None).cast("bigint"))
+        q = self.postings().select(F.col("token").alias("q_token"), F.col("view").alias("q_view"), F.col("first").alias("q_first"), F.col("tokens").alias("q_tokens"))
+        a, b = F.size("tokens"), F.size("q_tokens")
+        lengths = (b >= F.ceil(a * self.share)) & (a >= F.ceil(b * self.share))
+        overlap = F.size(F.array_intersect("tokens", "q_tokens")) >= F.ceil((a + b) * (self.share / (1 + self.share)))
+        on = (F.col("token") == F.col("q_token")) & (F.col("view") == F.col("q_view")) & lengths & overlap
+        # the buckets of the token hold both sides: nothing is sent again to find the least
+        return p.join(q, on, "left").groupBy("token", "view", "first").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens"), F.min("q_first").alias("known"))
 
     def probe(self, notices: DataFrame) -> DataFrame:
         """notices (view, tokens, first) with `known`: the first row of the same notice in the index, or NULL."""
-        p = self.prefixes(notices).alias("p")
-        q = self.postings().alias("q")
-        need = F.ceil(F.size("p.tokens") * self.share)
-        cand = p.join(q, (F.col("p.bucket") == F.col("q.bucket")) & (F.col("p.token") == F.col("q.token")) & (F.col("p.view") == F.col("q.view")))
-        cand = cand.filter((F.size("q.tokens") >= need) & (F.size("q.tokens") * self.share <= F.size("p.tokens")))  # lengths
-        cand = cand.filter(F.size(F.array_intersect("p.tokens", "q.tokens")) >= need)  # overlap
-        hit = cand.groupBy(F.col("p.view").alias("view"), F.col("p.first").alias("first")).agg(F.min("q.first").alias("known"))
-        return notices.join(hit, ["view", "first"], "left")
+        met = self._met(_counted(notices))
+        if self.share < 1:
+            met = met.groupBy("view", "first").agg(F.first("tokens").alias("tokens"), F.min("known").alias("known"))
+        return met.select("view", "tokens", "first", "known")
 
     def append(self, notices: DataFrame) -> None:
         """Post the notices (view, tokens, first)."""
-        self.prefixes(notices).select("token", "view", "first", "tokens", "bucket").repartition("bucket").write.partitionBy("bucket").parquet(f"{self.path}/part={self.parts}")
+        self._write(self.prefixes(_counted(notices)).withColumn("known", F.lit(None).cast("bigint")).repartition(self.buckets, "token"))
+
+    def absorb(self, notices: DataFrame) -> DataFrame:
+        """Probe and append in one pass: view, tokens, first, n and known of the notices; those without `known` are posted."""
+        if self.share < 1:
+            new = cut(self.probe(notices), "probed")
+            self.append(new.filter("known is null"))
+            return new
+        met = self._met(_counted(notices))
+        self._write(met if self.parts else met.repartition(self.buckets, "token"))
+        return self.rows().filter(F.col("part") == self.parts - 1).select("view", "tokens", "first", "n", "known")
+
+    def _write(self, rows: DataFrame) -> None:
+        rows.withColumn("part", F.lit(self.parts)).select(*self.COLUMNS).write.insertInto(self.name)
         self.parts += 1
 
+    def compact(self, path: str | None = None) -> "NoticeIndex":
+        """An index of the same postings as one part, for where daily parts have become many."""
+        new = NoticeIndex(self.spark, self.order, path, self.share, self.buckets)
+        new._write(self.rows().drop("part").repartition(self.buckets, "token"))
+        return new
+
+
+def _counted(notices: DataFrame) -> DataFrame:
+    return notices if "n" in notices.columns else notices.withColumn("n", F.lit(1).cast("bigint"))
+
 
 def collapse(ids: DataFrame) -> DataFrame:
-    """view, tokens, first: the distinct notices of a batch, with their smallest id."""
-    return ids.groupBy("view", "tokens").agg(F.min("id").alias("first"))
+    """view, tokens, first, n: the distinct notices of a batch, with their smallest id and the number of their rows."""
+    return ids.groupBy("view", "tokens").agg(F.min("id").alias("first"), F.count("*").alias("n"))
 
 
-def rarity(ids: DataFrame) -> list[str]:
-    """Token kinds by average document frequency, rarest first."""
-    t = ids.select(F.explode("tokens").alias("t")).groupBy(F.substring("t", 1, 1).alias("kind")).agg((F.count("*") / F.approx_count_distinct("t")).alias("df"))
-    return [r["kind"] for r in t.orderBy("df", "kind").collect()]
+def rarity(ids: DataFrame) -> Rarity:
+    return Rarity.fit(ids)
 
 
 def blocks(ids: DataFrame, n: int) -> list[tuple]:
@@ -176,7 +273,12 @@ def within(a, b) -> Column:
     return (day.isNull() | (day <= F.lit(b))) if a is None else (day >= F.lit(a)) & (day <= F.lit(b))
 
 
-def repeats(df: DataFrame, n_blocks: int = 3, index: NoticeIndex | None = None) -> DataFrame:
+def _sized(df: DataFrame) -> DataFrame:
+    """df, to be broadcast if a count shows that it is small; else the join is left to the planner."""
+    return F.broadcast(df) if df.count() <= SMALL else df
+
+
+def repeats(df: DataFrame, n_blocks: int = 8, index: NoticeIndex | None = None) -> DataFrame:
     """first_id, id of every row that publishes a notice again.
 
     The rows are taken in the order of their days in n_blocks batches; each batch is checked against the index of all
@@ -184,36 +286,79 @@ def repeats(df: DataFrame, n_blocks: int = 3, index: NoticeIndex | None = None)
     """
     spark = df.sparkSession
     ids = cut(identities(df), "identities")
-    index = index or NoticeIndex(spark, rarity(ids))
-    firsts = None
-    for a, b in blocks(ids, n_blocks):
-        batch = ids.filter(within(a, b))
-        new = cut(index.probe(collapse(batch)), "probed")
-        index.append(new.filter("known is null"))
-        new = new.select("view", "tokens", F.coalesce("known", "first").alias("key"))
-        firsts = new if firsts is None else firsts.unionByName(new)
-    if firsts is None:
+    spans = blocks(ids, n_blocks)
+    if not spans:
         return spark.createDataFrame([], "first_id long, id long")
-    # a notice that came in two batches has one line in each; all rows of it share the key of the first
-    keyed = ids.join(firsts.distinct(), ["view", "tokens"]).groupBy("view", "key", "id").agg(F.lit(1).alias("one"))
-    shared = keyed.groupBy("view", "key").agg(F.count("*").alias("n"), F.min("id").alias("label")).filter("n > 1")
-    edges = cut(keyed.join(shared.select("view", "key"), ["view", "key"]).select("id", "view", "key"), "edges")
-    return components(edges).filter("label < id").select(F.col("label").alias("first_id"), "id")
+    begun = 0 if index is None else index.parts
+    for a, b in spans:
+        batch = ids.filter(within(a, b))
+        index = index or NoticeIndex(spark, rarity(batch))
+        index.absorb(collapse(batch))
+    firsts = index.rows().filter(F.col("part") >= begun).select("view", "tokens", "first", "n", F.coalesce("known", "first").alias("key"))
+    # notices of more than one row: rows of one batch are counted with it, those of several share the key
+    many = cut(firsts.groupBy("view", "key").agg(F.sum("n").alias("rows"), F.min("first").alias("least")).filter("rows > 1").select("view", "key", "least"), "many")
+    # from here on a notice is named by its smallest row, which need not be the one that came first
+    shared = cut(firsts.join(_sized(many), ["view", "key"]).select("view", "tokens", F.col("least").alias("key")), "shared")
+    rows = cut(ids.join(_sized(shared), ["view", "tokens"]).select("id", "view", "key"), "rows")
+    # a row that has both identities ties a page to a project; equal ties count once
+    both = rows.groupBy("id").agg(F.min(F.when(F.col("view") == "page", F.col("key"))).alias("page"), F.min(F.when(F.col("view") == "project", F.col("key"))).alias("project"))
+    ties = both.filter("page is not null and project is not null").groupBy("page", "project").agg(F.min("id").alias("id"))
+    ties = ties.select("id", F.explode(F.array(F.struct(F.lit("page").alias("view"), F.col("page").alias("key")), F.struct(F.lit("project").alias("view"), F.col("project").alias("key")))).alias("e")).select("id", "e.view", "e.key")
+    ties = cut(ties, "ties")
+    group = ties.join(components(ties), "id").groupBy("view", "key").agg(F.min("label").alias("label"))
+    least = group.groupBy("label").agg(F.min("key").alias("first_id"))
+    group = cut(group.join(least, "label").select("view", "key", "first_id"), "groups")
+    found = rows.join(_sized(group), ["view", "key"], "left").groupBy("id").agg(F.min(F.coalesce("first_id", "key")).alias("first_id"))
+    return found.filter("first_id < id").select("first_id", "id")
 
 
 def components(edges: DataFrame) -> DataFrame:
     """id, label: the smallest id reachable over shared keys (view, key); edges: id, view, key.
 
     Runs until no label changes, which comes since labels only fall.  Each round also takes the label of the label, so
-    that long chains need few rounds.
+    that long chains need few rounds; the table of a round is removed when the next one is written.
     """
     label = edges.groupBy("id").agg(F.min("id").alias("label"))
+    old = None
     while True:
         by_key = edges.join(label, "id").groupBy("view", "key").agg(F.min("label").alias("low"))
         low = edges.join(by_key, ["view", "key"]).groupBy("id").agg(F.min("low").alias("near"))
         jump = label.select(F.col("id").alias("near"), F.col("label").alias("far"))
         new = cut(low.join(jump, "near").select("id", F.least("near", "far").alias("label")), "labels")
         changed = new.join(label.withColumnRenamed("label", "old"), "id").filter(F.col("label") < F.col("old")).limit(1).count()
-        label = new
+        if old is not None:
+            remove(old)
+        old = label = new
         if not changed:
             return label
+
+
+SHINGLE = 5
+
+
+def title_tokens(title: Column) -> Column:
+    """The distinct runs of five characters of a title in one notation; a shorter title is one token; NULL if it is blank."""
+    t = F.regexp_replace(F.lower(narrow(title)), "[\\s\u3000]+", "")
+    n = F.char_length(t)
+    runs = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(n - (SHINGLE - 1), F.lit(1))), lambda i: F.substring(t, i, F.lit(SHINGLE))))
+    return F.when(n > 0, runs)
+
+
+def title_notices(df: DataFrame) -> DataFrame:
+    """id, day, view, tokens of every row with a title."""
+    d = df.select("id", F.to_date("created_at").alias("day"), F.lit("title").alias("view"), title_tokens(F.col("title")).alias("tokens"))
+    return d.filter(F.col("tokens").isNotNull())
+
+
+def last_batch(ids: DataFrame, days: int = 30, share: float = 1.0) -> DataFrame:
+    """id, first_id: the rows of the last `days` days against an index of all rows before them."""
+    ids = cut(ids, "identities")
+    last = ids.agg(F.max("day").alias("d")).first()["d"]
+    if last is None:
+        return ids.sparkSession.createDataFrame([], "id long, first_id long")
+    new = F.col("day") > F.date_sub(F.lit(last), days)
+    before, batch = ids.filter(~new | F.col("day").isNull()), ids.filter(new)
+    index = NoticeIndex(ids.sparkSession, rarity(before), share=share)
+    index.append(collapse(before))
+    hit = cut(index.probe(collapse(batch)).filter("known is not null").select("view", "tokens", "known"), "hits")
+    return batch.join(_sized(hit), ["view", "tokens"]).groupBy("id").agg(F.min("known").alias("first_id"))

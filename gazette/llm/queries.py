@@ -136,15 +136,14 @@ def p7_found(spark, sf_dir):
 
 @query("p7_last_batch")
 def p7_last_batch(spark, sf_dir):
-    """The last day's batch against an index of all days before it."""
-    ids = history.cut(history.identities(table(spark, sf_dir, "scraping_infos", P7_COLS)), "identities")
-    last = ids.agg(F.max("day").alias("last"))
-    before = ids.join(F.broadcast(last), F.col("day") < F.col("last")).drop("last")
-    batch = ids.join(F.broadcast(last), F.col("day") == F.col("last")).drop("last")
-    index = history.NoticeIndex(spark, history.rarity(before))
-    index.append(history.collapse(before))
-    hit = index.probe(history.collapse(batch)).filter("known is not null")
-    return batch.join(hit.select("view", "tokens", "known"), ["view", "tokens"]).groupBy("id").agg(F.min("known").alias("first_id"))
+    """The rows of the last thirty days against an index of all rows before them."""
+    return history.last_batch(history.identities(table(spark, sf_dir, "scraping_infos", P7_COLS)))
+
+
+@query("p7_last_titles")
+def p7_last_titles(spark, sf_dir):
+    """The rows of the last thirty days whose title is nearly that of an earlier row."""
+    return history.last_batch(history.title_notices(table(spark, sf_dir, "scraping_infos", ["id", "title", "created_at"])), share=0.8)
 
 
 # ---- problem 8: encoding with a public tokenizer

@@ -282,6 +282,41 @@ def test_index_grows(spark):
     assert got == {(7, 1), (8, None), (9, 5)}
 
 
+def test_index_is_taken_up_again_and_compacted(spark, tmp_path):
+    mk = lambda rows: spark.createDataFrame(rows, "view string, tokens array<string>, first long")
+    ix = history.NoticeIndex(spark, history.Rarity([["s:a"]]), f"file://{tmp_path}/index", buckets=3)
+    ix.absorb(mk([("v", ["n:1", "s:a"], 1), ("v", ["n:2", "s:a"], 2)]))
+    ix.absorb(mk([("v", ["n:2", "s:a"], 3), ("v", ["n:3", "s:a"], 4), ("w", ["n:1", "s:a"], 5)]))
+    again = history.NoticeIndex(spark, history.Rarity([["s:a"]]), f"file://{tmp_path}/index", buckets=3)
+    for index in (ix, again, again.compact()):
+        assert {(r["first"], r["known"]) for r in index.rows().collect()} == {(1, None), (2, None), (3, 2), (4, None), (5, None)}
+        assert [r["known"] for r in index.probe(mk([("v", ["n:3", "s:a"], 9)])).collect()] == [4] and {r["token"] for r in index.postings().collect()} == {"n:1", "n:2", "n:3"}
+    assert again.parts == 2 and "Exchange" not in ix.postings().groupBy("token").count()._jdf.queryExecution().executedPlan().toString()
+
+
+def test_titles_that_are_nearly_the_same(spark):
+    """The index with a similarity of 0.8 against all pairs."""
+    rnd = random.Random(8)
+    words = ["核心系统", "数据中台", "机房空调", "存储阵列", "采购项目", "建设工程", "招标公告", "中标结果", "2025年度", "某某银行"]
+    titles = ["".join(rnd.choices(words, k=6)) for _ in range(60)]
+    for k in range(60):
+        t = rnd.choice(titles[:60])
+        i = rnd.randrange(len(t))
+        titles.append(t[:i] + rnd.choice(["", "甲", "（一）"]) + t[i + rnd.randrange(2) :])
+    rows = [(i, t, dt.datetime(2025, 1, 1) + dt.timedelta(days=i)) for i, t in enumerate(titles + ["短", "短", None, " "])]
+    d = spark.createDataFrame(rows, "id long, title string, created_at timestamp_ntz")
+    tok = {i: {t[k : k + 5] for k in range(max(1, len(t) - 4))} for i, t, _ in rows if t and t.strip()}
+    last = len(rows) - 1
+    want = {}
+    for i in tok:
+        near = [j for j in tok if last - 30 - 2 >= j and len(tok[i] & tok[j]) >= 0.8 * len(tok[i] | tok[j]) - 1e-9]
+        if i > last - 30 - 2 and near:
+            want[i] = min(near)
+    got = {r["id"]: r["first_id"] for r in history.last_batch(history.title_notices(d), days=30, share=0.8).collect()}
+    assert got == want and len(want) >= 5
+    assert history.last_batch(history.title_notices(d.limit(0))).count() == 0
+
+
 # ---------------------------------------------------------------- problem 8
 
 
