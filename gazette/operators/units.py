@@ -10,8 +10,9 @@ Entries in foreign currency, rates, discounts, prices per unit, ranges and words
 Units.  A number without any unit or currency is `bare`.  The record's text may declare a unit for its amounts.  A
 mixture on the log scale, whose components are one base density shifted by log10 of the known conversion factors, gives
 every bare number a posterior over units; its mixing weights are fitted per declaration class by EM over all bare
-numbers.  The declared unit (yuan where none is declared) is what the data's owner defines as right, so it decides
-where it and the posterior disagree, and the entry is flagged.
+numbers, in which the declaration counts as `worth` numbers.  The posterior assigns the unit; the declared unit (yuan
+where none is declared) is what the data's owner defines as right, so it is checked against it, decides where the two
+disagree, and the entry is flagged.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gazette.session import cut
+
 # fixed values: the units money is recorded in, and how many yuan each is
 UNIT_YUAN = {"元": 1, "千元": 1_000, "万元": 10_000, "百万元": 1_000_000, "亿元": 100_000_000}
 UNITS = list(UNIT_YUAN)
@@ -55,7 +58,8 @@ def fold(raw: Column) -> Column:
 
 
 def _dec(c: Column) -> Column:
-    return F.coalesce(F.nullif(c, F.lit("")), F.lit("0")).cast("decimal(20,8)")
+    """The figure, 0 for ''; NULL for one of more than 22 digits before the point, which is no amount."""
+    return F.coalesce(F.nullif(c, F.lit("")), F.lit("0")).try_cast("decimal(30,8)")
 
 
 def _digit(c: Column) -> Column:
@@ -97,9 +101,9 @@ def _figure(core: Column) -> Column:
     one = f"^({NUM})(亿|千万|百万|十万|万|千|百|十亿)?(元?)$"
     many = f"^(?:({NUM})亿)?(?:({NUM})万)?({NUM})?元?$"
     factor = F.create_map(F.lit(""), F.lit(1), *[x for k, v in {**SCALE, "十亿": 1_000_000_000}.items() for x in (F.lit(k), F.lit(v))])
-    one_fen = (_dec(F.regexp_extract(core, one, 1)) * (F.element_at(factor, F.regexp_extract(core, one, 2))).cast("decimal(12,0)") * F.lit(100).cast("decimal(3,0)")).cast("decimal(38,8)")
-    part = lambda i, f: (_dec(F.regexp_extract(core, many, i)) * F.lit(f).cast("decimal(12,0)")).cast("decimal(38,8)")
-    many_fen = (part(1, 10_000_000_000) + part(2, 1_000_000) + part(3, 100)).cast("decimal(38,8)")
+    one_fen = F.try_multiply(_dec(F.regexp_extract(core, one, 1)), (F.element_at(factor, F.regexp_extract(core, one, 2)).cast("long") * F.lit(100)).cast("decimal(12,0)")).try_cast("decimal(38,8)")
+    part = lambda i, f: F.try_multiply(_dec(F.regexp_extract(core, many, i)), F.lit(f).cast("decimal(12,0)")).try_cast("decimal(38,8)")
+    many_fen = F.try_add(F.try_add(part(1, 10_000_000_000), part(2, 1_000_000)), part(3, 100)).try_cast("decimal(38,8)")
     words = F.when(core.rlike("[元角分]$"), core).otherwise(F.concat(core, F.lit("元")))
     return F.when(core.rlike(one), one_fen).when(core.rlike(many) & (core != ""), many_fen).otherwise(chinese_fen(words))
 
@@ -113,9 +117,9 @@ def _entry(s: Column) -> Column:
     bare = s.rlike(f"^{NUM}$")
     none = F.lit(None)
     return (
-        F.when(F.coalesce(bad, F.lit(True)), F.struct(none.cast("long").alias("fen"), none.cast("decimal(20,8)").alias("exact"), F.lit(False).alias("bare")))
+        F.when(F.coalesce(bad, F.lit(True)), F.struct(none.cast("long").alias("fen"), none.cast("decimal(30,8)").alias("exact"), F.lit(False).alias("bare")))
         .when(bare, F.struct(none.cast("long").alias("fen"), _dec(s).alias("exact"), F.lit(True).alias("bare")))
-        .otherwise(F.struct(F.round(let(figure(inner), _figure), 0).cast("long").alias("fen"), none.cast("decimal(20,8)").alias("exact"), F.lit(False).alias("bare")))
+        .otherwise(F.struct(F.round(let(figure(inner), _figure), 0).try_cast("long").alias("fen"), none.cast("decimal(30,8)").alias("exact"), F.lit(False).alias("bare")))
     )
 
 
@@ -152,8 +156,8 @@ class UnitMixture:
     `bin_width` decades: at most 5 classes x 40 decades / bin_width rows, whatever the size of the data.
     """
 
-    def __init__(self, bin_width: float = 0.05, trust: float = 0.99, rounds: int = 50):
-        self.bin_width, self.trust, self.rounds = bin_width, trust, rounds
+    def __init__(self, bin_width: float = 0.05, trust: float = 0.99, rounds: int = 50, worth: float = 10.0):
+        self.bin_width, self.trust, self.rounds, self.worth = bin_width, trust, rounds, worth
         self.mean, self.dev, self.weights = 6.0, 1.0, {}
 
     def fit(self, ent: DataFrame) -> "UnitMixture":
@@ -173,10 +177,10 @@ class UnitMixture:
             if rows:
                 x, n = np.array([a for a, _ in rows]), np.array([b for _, b in rows], float)
                 like = np.exp(-0.5 * ((x[:, None] + shift[None, :] - self.mean) / self.dev) ** 2)
-                for _ in range(self.rounds):  # MAP-EM: the declaration counts as often as the data
+                for _ in range(self.rounds):  # MAP-EM: the declaration counts as `worth` numbers do
                     post = like * w
                     post /= np.maximum(post.sum(1, keepdims=True), 1e-300)
-                    w = (n @ post + n.sum() * prior) / (2 * n.sum())
+                    w = (n @ post + self.worth * prior) / (n.sum() + self.worth)
             self.weights[d] = w
         return self
 
@@ -196,20 +200,21 @@ class UnitMixture:
 def amounts(df: DataFrame, id_col: str = "id", fields: tuple[str, ...] = ("project_budget", "winning_amount"), detail: str = "detail", certain: float = 0.9, model: UnitMixture | None = None) -> DataFrame:
     """Every entry that states an amount: id, field, item_no, raw, unit, amount_fen, probability, uncertain.
 
-    NULL, blank and unreadable entries give no row but keep their place in item_no.  A repeated row repeats its entries.
+    NULL, blank and unreadable entries, and amounts that no bigint of fen holds, give no row but keep their place in item_no.  A repeated row repeats its entries.
     `uncertain`: the unit taken has a posterior below `certain`.
     """
-    ent = entries(df, id_col, list(fields), detail)
-    model = model or UnitMixture().fit(ent)
-    e = ent.filter(F.col("fen").isNotNull() | F.col("bare"))
+    # read once: the mixture is fitted to the entries, and then they are assigned
+    e = cut(entries(df, id_col, list(fields), detail).filter(F.col("fen").isNotNull() | F.col("bare")), "entries")
+    model = model or UnitMixture().fit(e)
     e = e.withColumn("__post", F.when(F.col("bare"), model.posterior(F.col("declared"), F.col("number"))))
     best = F.element_at(F.array(*[F.lit(u) for u in UNITS]), F.greatest(F.lit(1), F.coalesce(F.array_position("__post", F.array_max("__post")), F.lit(1))).cast("int"))
     e = e.withColumn("__fitted", F.when(F.col("bare"), best))
-    # exact check: the unit that the record declares decides
-    e = e.withColumn("unit", F.when(F.col("bare"), F.col("declared")))
+    # exact check of what the posterior assigns: where the record's declaration gives another unit, that one decides
+    agreed = F.col("__fitted").eqNullSafe(F.col("declared"))
+    e = e.withColumn("unit", F.when(F.col("bare"), F.when(agreed, F.col("__fitted")).otherwise(F.col("declared"))))
     place = F.coalesce(F.array_position(F.array(*[F.lit(u) for u in UNITS]), F.col("unit")), F.lit(1)).cast("int")
     prob = F.when(F.col("bare"), F.try_element_at("__post", place)).otherwise(F.lit(1.0))
     factor = F.element_at(F.create_map(*[x for u, y in UNIT_YUAN.items() for x in (F.lit(u), F.lit(y))]), F.coalesce(F.col("unit"), F.lit("元")))
-    bare_fen = F.round(F.col("exact") * factor.cast("decimal(10,0)") * F.lit(100).cast("decimal(3,0)"), 0).cast("long")
-    e = e.withColumn("amount_fen", F.when(F.col("bare"), bare_fen).otherwise(F.col("fen")))
+    bare_fen = F.round(F.try_multiply(F.col("exact"), (factor.cast("long") * F.lit(100)).cast("decimal(12,0)")).try_cast("decimal(38,8)"), 0).try_cast("long")
+    e = e.withColumn("amount_fen", F.when(F.col("bare"), bare_fen).otherwise(F.col("fen"))).filter("amount_fen is not null")
     return e.select("id", "field", F.col("item_no").cast("int").alias("item_no"), "raw", F.col("unit"), F.col("__fitted").alias("fitted_unit"), "amount_fen", prob.alias("probability"), F.coalesce(prob < certain, F.lit(True)).alias("uncertain"), "declared", "bare")

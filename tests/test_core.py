@@ -42,6 +42,19 @@ def test_mixture_flags_a_unit_that_does_not_fit(spark):
     assert len(a) == 40 and all(r["uncertain"] and r["fitted_unit"] == "万元" and r["unit"] == "元" for r in a)
 
 
+def test_figures_of_any_length(spark):
+    """Amounts that a bigint of fen holds are exact; longer figures give no row and end no job."""
+    raw = ["9" * n for n in range(13, 41)] + ["9" * 12 + "万元", "8" * 30 + "亿元", "7" * 16 + "亿3万元", "0.123456789元", "1e5"]
+    d = spark.createDataFrame([(i, r, None, "单位：万元" if i % 2 else None) for i, r in enumerate(raw)], "id long, project_budget string, winning_amount string, detail string")
+    got = {r["id"]: r["amount_fen"] for r in units.amounts(d).collect()}
+    want = {}
+    for i, r in enumerate(raw[:28]):
+        fen = int(r) * (10_000 if i % 2 else 1) * 100
+        if fen < 2**63:
+            want[i] = fen
+    assert got == {**want, 28: int("9" * 12) * 1_000_000, 31: 12}
+
+
 def test_text_functions(spark):
     assert one(spark, "福福建建省省银银", text.fold_doubled) == "福建省银"
     assert one(spark, "福福建建省省", text.fold_doubled) == "福福建建省省"
