@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -25,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SHARD_FORMS = 50_000
+BLOCK_VALUES = 20_000  # values looked up in one shard by one task
 # Kinds of institution, their customary abbreviations (after the name, after its first character) and English.
 KINDS = {
     "农村商业银行": (["农村商业银", "农商银行", "农商行", "农商"], ["农商行", "农商"], "rural commercial bank"),
@@ -192,8 +194,8 @@ def components(value: str) -> list[str]:
     return list(dict.fromkeys(x for x in out if x))
 
 
-def link(value: str, trie: Trie) -> tuple[str, int] | None:
-    """(canonical, errors) the value means, or None."""
+def best(value: str, trie: Trie) -> tuple[int, int, set[str]] | None:
+    """(errors, minus the length of the form, all institutions at that rank) of the best forms in the value, or None."""
     v = fold(value)
     if len(v) < 2:
         return None
@@ -220,19 +222,37 @@ def link(value: str, trie: Trie) -> tuple[str, int] | None:
                 break
     if not hits:
         return None
-    best = min(h[:2] for h in hits)
-    names = {h[2] for h in hits if h[:2] == best}
-    return (names.pop(), best[0]) if len(names) == 1 else None
+    top = min(h[:2] for h in hits)
+    return (*top, {h[2] for h in hits if h[:2] == top})
+
+
+def link(value: str, trie: Trie) -> tuple[str, int] | None:
+    """(canonical, errors) the value means, or None; None too if two institutions tie."""
+    b = best(value, trie)
+    return (next(iter(b[2])), b[0]) if b and len(b[2]) == 1 else None
 
 
-def links(values: DataFrame, reference: DataFrame, shard_forms: int = SHARD_FORMS) -> DataFrame:
+def heads(form: str) -> list[str]:
+    """The characters by which a form is put into shards: with one error one of its first two is a head's first or second."""
+    return list(dict.fromkeys(form.lstrip("~")[:2])) or [""]
+
+
+def probes(value: str) -> list[str]:
+    """The characters whose shards can hold a form of the value: the first two of each component."""
+    v = fold(value)
+    tokens = latin_tokens(v)
+    keys = [_latin(tokens), re.sub(r"\s", "", v).lower()]
+    return list(dict.fromkeys(c for part in [*components(value), *keys] for c in part.lstrip("~")[:2]))
+
+
+def links(values: DataFrame, reference: DataFrame, shard_forms: int = SHARD_FORMS, block_values: int = BLOCK_VALUES) -> DataFrame:
     """value, canonical, errors: of every distinct value the canonical name it means.
 
-    reference: canonical, aliases (array).  The reference list is cut into shards of about `shard_forms` forms, by size;
-    values are looked up in every shard, and the best link over the shards counts.  A list of one shard (the usual case)
-    is sent with the tasks; the size of each shard is bounded, whatever the list.
+    reference: canonical, aliases (array).  A list of one shard (the usual case) is sent with the tasks.  A longer one is
+    cut into shards of about `shard_forms` forms by the heads of its forms; a value is looked up in the shards of its own
+    heads only, in blocks of about `block_values` values.  Every shard returns all institutions at its best rank, and the
+    best rank over the shards decides as it does in one trie.
     """
-    spark = values.sparkSession
     v = values.filter(F.col("value").rlike("\\S")).groupBy("value").agg(F.lit(1).alias("one")).select("value")
     n = reference.count()
     shards = max(1, -(-n * 12 // shard_forms))
@@ -247,19 +267,33 @@ def links(values: DataFrame, reference: DataFrame, shard_forms: int = SHARD_FORM
                 yield pd.DataFrame({"value": b["value"][keep], "canonical": [g[0] for g in got if g], "errors": [g[1] for g in got if g]})
 
         return v.mapInPandas(run, "value string, canonical string, errors int")
-    r = reference.withColumn("shard", F.pmod(F.xxhash64("canonical"), F.lit(shards)).cast("int"))
-    n_blocks = max(8, spark.sparkContext.defaultParallelism)
-    q = v.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).withColumn("block", F.pmod(F.xxhash64("value"), F.lit(n_blocks)).cast("int"))
-    r = r.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
+    shards *= 2  # a form is in the shards of its first two characters
+    shard = lambda c: zlib.crc32(c.encode()) % shards
+    blocks = max(1, -(-v.count() * 4 // (shards * block_values)))
 
-    def pair(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        trie = Trie([(f, c, k) for c, a in zip(right["canonical"], right["aliases"]) for f, k in forms(c, list(a) if a is not None else [])])
-        got = [(x, *g) for x in left["value"] if (g := link(x, trie))]
-        return pd.DataFrame(got, columns=["value", "canonical", "errors"])
+    def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = [(x, s, zlib.crc32(x.encode("utf-8", "replace")) % blocks) for x in b["value"] for s in sorted({shard(c) for c in probes(x)})]
+            yield pd.DataFrame(rows, columns=["value", "shard", "block"])
 
-    each = q.groupBy("shard", "block").cogroup(r.groupBy("shard", "block")).applyInPandas(pair, "value string, canonical string, errors int")
-    best = each.groupBy("value").agg(F.min("errors").alias("errors"))
-    return each.join(best, ["value", "errors"]).groupBy("value", "errors").agg(F.collect_set("canonical").alias("c")).filter(F.size("c") == 1).select("value", F.col("c")[0].alias("canonical"), "errors")
+    def post(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = [(f, c, k, s) for c, a in zip(b["canonical"], b["aliases"]) for f, k in forms(c, list(a) if a is not None else []) for s in sorted({shard(h) for h in heads(f)})]
+            yield pd.DataFrame(rows, columns=["form", "canonical", "allowed", "shard"])
+
+    q = v.mapInPandas(send, "value string, shard int, block int")
+    r = reference.select("canonical", "aliases").mapInPandas(post, "form string, canonical string, allowed int, shard int").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+
+    def pair(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        trie = Trie(list(zip(right["form"], right["canonical"], right["allowed"])))
+        got = [(x, g[0], g[1], sorted(g[2])) for x in left["value"] if (g := best(x, trie))]
+        return pd.DataFrame(got, columns=["value", "errors", "rank", "names"])
+
+    each = q.groupBy("shard", "block").cogroup(r.groupBy("shard", "block")).applyInPandas(pair, "value string, errors int, rank int, names array<string>")
+    top = each.groupBy("value").agg(F.min(F.struct("errors", "rank")).alias("top"))
+    at = each.join(top, "value").filter((F.col("errors") == F.col("top.errors")) & (F.col("rank") == F.col("top.rank")))
+    names = at.select("value", "errors", F.explode("names").alias("name")).groupBy("value", "errors").agg(F.min("name").alias("canonical"), F.max("name").alias("other"))
+    return names.filter(F.col("canonical") == F.col("other")).select("value", "canonical", "errors")
 
 
 def reference_list(alias_map: DataFrame, canonical: str = "canonical_customer", pattern: str = "alias_pattern", match: str = "match_type") -> DataFrame:

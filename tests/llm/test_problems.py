@@ -165,6 +165,17 @@ def test_names_rows_and_shards(spark):
     assert whole == cut and names.linked(d.limit(0), "id", "name", ref).count() == 0
 
 
+def test_names_do_not_depend_on_shards(spark):
+    """Ties of errors, of lengths, and forms of which one is longer, in one trie, in two shards and in many."""
+    listed = [("蓝海银行股份有限公司", ["蓝海银行"]), ("蓝海银行上海分行", []), ("翡澳银行", ["翡行"]), ("翡岭银行", ["翡行"]), *REFERENCE[1:]]
+    ref = spark.createDataFrame(listed, "canonical string, aliases array<string>")
+    vals = ["蓝海银行上海分行科技部", "蓝海银行", "监海银行", "海蓝银行股份有限公司", "翡行", "翡澳银行", "斐澳银行", "澳银行", "松涛分行-珞屿银行", "Bank Hadrelle (China)", "HadreB", "Yanya Rural Credit Union", "淙桥村镇银行", "止洲证券", "（科技部）砚崖农信社", "x", None]
+    v = spark.createDataFrame([(x,) for x in vals], "value string")
+    one, two, many = ({(r["value"], r["canonical"], r["errors"]) for r in names.links(v, ref, n, b).collect()} for n, b in ((50_000, 10), (60, 1000), (2, 3)))
+    assert one == two == many and ("蓝海银行上海分行科技部", "蓝海银行上海分行", 0) in one and len(one) >= 10
+    assert not any(x == "翡行" for x, _, _ in one)
+
+
 # ---------------------------------------------------------------- problem 5
 
 
