@@ -55,6 +55,8 @@ HEADING = re.compile(r"(?:项目|公告|公示|通知|采购|招标)$")
 DISCOUNT = re.compile(r"```.*?```|<code>.*?</code>|<pre>.*?</pre>|[“\"「『][^”\"」』\n]{0,80}[”\"」』]", re.S)
 TUTORIAL = re.compile(r"格式|填写|示例[:：]|变量|标注|语法|教程|写作|表示|替换为|投标函|报名表|授权书|样表|附表|附[:：件]|加盖公章")
 ENTRY = re.compile(r"^\s*[\w（）()/ ]{1,16}[:：]\s*(.*)$")
+# what only stands in a notice: messages beside it are spoken of, not shown
+NOTICE = re.compile(r"(?:采购|招标|项目)编号|联系人[:：]|特此公告|开标时间|(?:投标人|供应商)(?:应|须|需|可)|预算(?:金额)?[:：]|采购人[:：]")
 WORDS = re.compile(r"[a-z]{3,}", re.I)
 ENGLISH = re.compile(r"\b(?:the|of|and|to|is|for|in|on|with|by|be|shall|this|that|your|you|page|from|are|at|or)\b", re.I)
 # One sentence over and over with REPEAT_MARKS or more sentence ends counts only beside one of these signs.
@@ -119,17 +121,15 @@ def classify(text: str | None) -> str | None:
             return "template"
     body = [s for s in segs if not (HEADING.search(s) and len(s) < 60 and len(segs) > 1 and not FILLER.search(s) and not MESSAGE.search(s))] or segs
     rest = "\n".join(body)
-    size = len(re.sub(r"\s", "", rest))
     chars = sum(len(s) for s in body if FILLER.search(s))
-    if chars >= 0.5 * sum(map(len, body)) or (size < 400 and _fills(rest)):
+    if chars >= 0.5 * sum(map(len, body)) or _fills(rest):
         return "filler"
     if _repeats(rest, text) or _pseudo_latin(rest):
         return "filler"
-    if size <= 220:
-        parts = [p for s in body for p in re.split(r"(?<=[。；！])", s) if p]
-        said = sum(len(p) for p in parts if MESSAGE.search(p))
-        if said >= 0.5 * sum(map(len, parts)) and not re.search(r"(?:采购|招标|项目)编号|联系人[:：]|特此公告|开标时间", rest):
-            return "message"
+    parts = [p for s in body for p in re.split(r"(?<=[。；！])", s) if p]
+    said = sum(len(p) for p in parts if MESSAGE.search(p))
+    if said >= 0.5 * sum(map(len, parts)) and not NOTICE.search(rest):
+        return "message"
     return None
 
 
