@@ -75,7 +75,7 @@ def p6_found(spark, sf_dir):
 @query("p6_restored")
 def p6_restored(spark, sf_dir):
     """The original text of every garbled value, and whether all of it could be recovered."""
-    return encoding.restored(table(spark, sf_dir, "scraping_infos", ["id", "keyword", "detail", "detail_url"]), "id", ["detail", "keyword"], host())
+    return encoding.restored(spread(table(spark, sf_dir, "scraping_infos", ["id", "keyword", "detail", "detail_url"])), "id", ["detail", "keyword"], host())
 
 
 # ---- problem 4: variant spellings of names typed by people
