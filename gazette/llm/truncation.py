@@ -29,6 +29,7 @@ from gazette.session import cut
 MARK = "(?:…|\\.{2,}|\\ufffd|～{2,}|-{3,})+$"
 FDR = 0.01
 REACH = 3  # neighbouring lengths on each side
+RATIO = 2.0  # a limit is tested against so many times the neighbouring hazard: natural lengths are lumpy
 ROUNDS = 4  # of the test of contexts
 NEAR = 0.75  # how far from the level of cuts to the mean, by order of magnitude, an ending has to be to be complete
 BACKOFF = 20.0
@@ -62,7 +63,7 @@ def limits(v: DataFrame, q: float = FDR) -> DataFrame:
     every = W.partitionBy("field", "measure", "length")
     others = (F.sum("n").over(every) - F.col("n")) / F.greatest(F.sum("risk").over(every) - F.col("risk"), F.lit(1))
     h = h.withColumn("neighbours", F.greatest("neighbours", others))
-    h = h.withColumn("log_p", _log_tail(F.col("hazard"), F.col("neighbours"), F.col("risk")))
+    h = h.withColumn("log_p", _log_tail(F.col("hazard"), RATIO * F.col("neighbours"), F.col("risk")))
     return _discoveries(h, q).select("field", "site", "measure", "length", "n", "hazard", "neighbours", "log_p")
 
 
