@@ -22,7 +22,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from gazette.session import cut
+
 GRID = 4096
+SMALL = 200_000  # rows up to which a counted side is broadcast
+
+
+def small(df: DataFrame) -> DataFrame:
+    """df, to be broadcast if a count shows that it is small; else the join is left to the planner."""
+    return F.broadcast(df) if df.count() <= SMALL else df
+
 
 
 def targets(mix: DataFrame) -> DataFrame:
@@ -44,7 +53,7 @@ def scales(sizes: DataFrame, q: DataFrame) -> DataFrame:
 
     The sizes of a source are counted first: the windows run over distinct sizes, of which there are few, not over records.
     """
-    h = sizes.filter("n_tokens > 0").groupBy("source", F.col("n_tokens").alias("t")).agg(F.count("*").alias("k")).join(F.broadcast(q.select("source", "rest")), "source").filter("rest > 0")
+    h = sizes.filter("n_tokens > 0").groupBy("source", F.col("n_tokens").alias("t")).agg(F.count("*").alias("k")).join(small(q.select("source", "rest")), "source").filter("rest > 0")
     down = W.partitionBy("source").orderBy(F.desc("t"))
     h = h.withColumn("above", F.coalesce(F.sum(F.col("t") * F.col("k")).over(down.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
     h = h.withColumn("square", F.sum(F.col("t").cast("double") * F.col("t") * F.col("k")).over(down.rowsBetween(0, W.unboundedFollowing)))
@@ -61,57 +70,57 @@ def uniform(key: Column, seed: int) -> Column:
 def fill(d: DataFrame, limits: DataFrame, group: str, order: str, size: str, tie: str) -> DataFrame:
     """The rows of each group, in ascending `order` (in [0, 1)) and then `tie`, whose sizes fill its `limit`; the row
     that crosses the limit is taken if that comes nearer to it."""
-    d = d.join(F.broadcast(limits), group).withColumn("__a", F.least(F.floor(F.col(order) * GRID), F.lit(GRID - 1)))
-    d = d.withColumn("__b", F.least(F.floor((F.col(order) * GRID - F.col("__a")) * GRID), F.lit(GRID - 1)))
+    kept = d.columns
+    d = d.join(small(limits), group).withColumn("__a", F.least(F.floor(F.col(order) * GRID), F.lit(GRID - 1)))
+    d = cut(d.withColumn("__b", F.least(F.floor((F.col(order) * GRID - F.col("__a")) * GRID), F.lit(GRID - 1))), "order")
 
     def cells(x: DataFrame, cell: str, left: str) -> DataFrame:
-        """group, cell, left: for each cell what is left of the limit before it."""
+        """group, cell, left: for each cell what is left of the limit before it; at most GRID cells a group."""
         h = x.groupBy(group, cell).agg(F.sum(size).alias("__s"), F.first(left).alias("__left"))
         before = F.coalesce(F.sum("__s").over(W.partitionBy(group).orderBy(cell).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-        return h.select(group, cell, (F.col("__left") - before).alias("__rem"), "__s").filter("__rem > 0")
-
-    one = cells(d, "__a", "limit")
-    d1 = d.join(_fits(one), [group, "__a"])
-    sure1 = d1.filter("__s <= __rem").drop("__rem", "__s")
-    edge = d1.filter("__s > __rem").drop("limit", "__s").withColumnRenamed("__rem", "__lim")
-    two = cells(edge, "__b", "__lim")
-    d2 = edge.join(_fits(two), [group, "__b"])
+        return cut(h.select(group, cell, (F.col("__left") - before).alias("__rem"), "__s").filter("__rem > 0"), "cells")
+
+    d1 = d.join(small(cells(d, "__a", "limit")), [group, "__a"])
+    sure1 = d1.filter("__s <= __rem")
+    edge = cut(d1.filter("__s > __rem").drop("limit", "__s").withColumnRenamed("__rem", "__lim"), "edge")
+    d2 = edge.join(small(cells(edge, "__b", "__lim")), [group, "__b"])
     sure2 = d2.filter("__s <= __rem")
-    last = d2.filter("__s > __rem")
     w = W.partitionBy(group).orderBy(order, tie)
     run = F.coalesce(F.sum(size).over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    last = last.withColumn("__run", run).filter((F.col("__run") < F.col("__rem")) & ((F.col("__run") + F.col(size) <= F.col("__rem")) | (F.col("__run") + F.col(size) - F.col("__rem") <= F.col("__rem") - F.col("__run"))))
-    cols = [c for c in d.columns if c not in ("__a", "__b", "limit")]
-    return sure1.select(*cols).unionByName(sure2.select(*cols)).unionByName(last.select(*cols))
-
-
-def _fits(cells: DataFrame) -> DataFrame:
-    """At most GRID cells per group: small as long as there are few groups, which the count of groups shows."""
-    return F.broadcast(cells) if cells.select(cells.columns[0]).distinct().count() <= 500 else cells
+    over = F.col("__run") + F.col(size) - F.col("__rem")
+    last = d2.filter("__s > __rem").withColumn("__run", run).filter((F.col("__run") < F.col("__rem")) & ((over <= 0) | (over <= F.col("__rem") - F.col("__run"))))
+    return sure1.select(*kept).unionByName(sure2.select(*kept)).unionByName(last.select(*kept))
 
 
 def mixed(sizes: DataFrame, mix: DataFrame, total: int | None = None, seed: int = 42, id_col: str = "doc_id") -> DataFrame:
     """doc_id, source, n_tokens, copies of every record that is used."""
     sizes = sizes.select(id_col, "source", "n_tokens")  # further columns may have any name
-    q = quotas(sizes, mix, total)
-    c = scales(sizes, q)
+    q = cut(quotas(sizes, mix, total), "quotas")
+    c = cut(scales(sizes, q), "scales")
     p = F.least(F.lit(1.0), F.col("c") * F.col("n_tokens"))
     u = uniform(F.col(id_col), seed)
     # odds / (1 + odds) keeps the order of the odds and lies in [0, 1)
     odds = F.when(F.col("__p") >= 1, F.lit(0.0)).otherwise((u / (1 - u)) / (F.col("__p") / (1 - F.col("__p"))))
-    d = sizes.filter("n_tokens > 0").join(F.broadcast(c), "source").withColumn("__p", p).withColumn("__x", F.least(odds / (1 + odds), F.lit(1 - 1e-12))).drop("c")
+    d = sizes.filter("n_tokens > 0").join(small(c), "source").withColumn("__p", p).withColumn("__x", F.least(odds / (1 + odds), F.lit(1 - 1e-12))).drop("c")
     sample = fill(d, q.select("source", F.col("rest").alias("limit")), "source", "__x", "n_tokens", id_col).select(F.col(id_col), "source", "n_tokens", F.lit(1).alias("copies"))
-    certain = sizes.filter("n_tokens > 0").join(F.broadcast(q.filter("copies > 0").select("source", "copies")), "source").select(F.col(id_col), "source", "n_tokens", "copies")
+    certain = sizes.filter("n_tokens > 0").join(small(q.filter("copies > 0").select("source", "copies")), "source").select(F.col(id_col), "source", "n_tokens", "copies")
     return certain.unionByName(sample).groupBy(id_col, "source", "n_tokens").agg(F.sum("copies").cast("int").alias("copies"))
 
 
-def shares(sizes: DataFrame, mix: DataFrame, used: DataFrame, total: int | None = None) -> DataFrame:
-    """source, target_share, actual_share, max_repeats, size, used, met: what the mix is made of."""
+def shares(sizes: DataFrame, mix: DataFrame, used: DataFrame, total: int | None = None, near: float = 0.01) -> DataFrame:
+    """source, target_share, reachable_share, actual_share, share_of_total, max_repeats, size, used, met: what the mix is made of.
+
+    What a source cannot fill is not given to the others: they keep their quotas, so that their tokens do not depend on
+    it, and their shares of the (smaller) mix are larger.  reachable_share: the quota's part of all quotas;
+    actual_share: of the mix; share_of_total: of the asked total.  met: share_of_total is within `near` of the target,
+    relatively.
+    """
     q = quotas(sizes, mix, total)
     u = used.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("copies")).alias("used"))
     r = q.join(u, "source", "left").withColumn("used", F.coalesce("used", F.lit(0)))
-    all_used = F.sum("used").over(W.partitionBy())
-    all_size = F.lit(total) if total is not None else F.sum("size").over(W.partitionBy())
-    share = F.when(all_used > 0, F.col("used") / all_used).otherwise(0.0)
-    met = F.floor(F.col("target_share") * all_size) <= F.col("size") * F.col("max_repeats")
-    return r.select("source", "target_share", share.alias("actual_share"), "max_repeats", "size", "used", (met & (F.col("size") > 0)).alias("met"))
+    every = W.partitionBy()
+    part = lambda a, b: F.when(b > 0, a / b).otherwise(0.0)
+    whole = F.lit(total) if total is not None else F.sum("size").over(every)
+    r = r.withColumns({"reachable_share": part(F.col("quota"), F.sum("quota").over(every)), "actual_share": part(F.col("used"), F.sum("used").over(every)), "share_of_total": part(F.col("used"), whole)})
+    met = F.abs(F.col("share_of_total") - F.col("target_share")) <= near * F.col("target_share")
+    return r.select("source", "target_share", "reachable_share", "actual_share", "share_of_total", "max_repeats", "size", "used", met.alias("met"))

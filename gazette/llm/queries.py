@@ -161,7 +161,7 @@ def _p9(spark, sf_dir):
     docs = spread(table(spark, sf_dir, "documents", ["doc_id", "source", "text"]))
     mix = table(spark, sf_dir, "mix_targets")
     # the sizes are used several times: written once, so that no text is encoded again
-    return history.cut(tokens.counted(docs.join(F.broadcast(mix.select("source").distinct()), "source", "left_semi")), "sizes"), mix
+    return history.cut(tokens.counted(docs.join(mixing.small(mix.select("source").distinct()), "source", "left_semi")), "sizes"), mix
 
 
 @query("p9_mix")
