@@ -95,17 +95,19 @@ def answer(c: Column, schema: str) -> Column:
 
 # fixed values: labelled fields of scanned papers, patterns in order
 PAPER_FIELDS = {
-    "项目名称": ["项\\s*目\\s*名\\s*称[：:]\\s*([^。\\n]+)"],
-    "招标编号": ["招标编号[：:]\\s*([A-Za-z0-9\\-]+)", "编\\s*号[：:]\\s*([A-Za-z0-9\\-]+)"],
-    "发布日期": ["日\\s*期[：:]\\s*(\\d{4}\\s*年\\s*\\d{1,2}\\s*月\\s*\\d{1,2}\\s*[日且曰])"],
-    "项目预算": ["项目预算\\s*(\\d+[\\d\\.]*\\s*万元)", "预算[：:]\\s*([^\\n]+?万元)"],
-    "招标人": ["采\\s*购\\s*人[：:]\\s*([^，。,\\n]+)"],
-    "代理机构": ["代理机构[：:]\\s*([^，。,\\n]+)", "招标代理[：:]\\s*([^，。,\\n]+)"],
-    "投标截止时间": ["投标截止[时日]间[：:]\\s*([^\\n]+)", "截止时间[为：:]\\s*([^。\\n，,]+)"],
-    "开标时间": ["开标时间[为：:]\\s*([^。\\n，,]+)"],
-    "开标地点": ["开标地[点址][为：:]\\s*([^。\\n，,]+)"],
-    "联系人": ["联\\s*系\\s*人[：:]\\s*([^\\n]+)"],
-    "联系电话": ["联系电话[：:]\\s*([\\d\\-]+)", "电\\s*话[：:]\\s*([\\d\\-]+)"],
+    "项目名称": ["项\\s*目\\s*名\\s*称[：:]\\s*(.+?)(?:[。\\n]|$)", "1\\s*[\\.、]\\s*项目名称[：:]\\s*(.+?)(?:[。\\n]|$)"],
+    "招标编号": ["招标编号[：:]\\s*([A-Za-z0-9\\-]+)", "编\\s*号[：:]\\s*([A-Za-z0-9\\-]+)", "(GXTC-[A-Za-z]-\\d+)"],
+    "发布日期": ["日\\s*期[：:]\\s*(\\d{4}\\s*年\\s*\\d{1,2}\\s*月\\s*\\d{1,2}\\s*[日且曰])", "发布[日时]期[：:]\\s*(.+?)(?:\\n|$)"],
+    "项目预算": ["项目预算\\s*(\\d+[\\d\\.]*\\s*万元)", "预算[：:]\\s*(.+?万元)", "预算\\s*(\\d+[\\d\\.]*\\s*万元)"],
+    "资金来源": ["资金来源[：:]\\s*(.+?)(?=[，。,])", "项目资金来源[：:]\\s*(.+?)(?=[，。,])"],
+    "招标人": ["受(.+?)[（(]以", "招\\s*标\\s*人[（(].*?[）)]\\s*[：:]?\\s*(.+?)(?=[，。,\\n]|$)", "采\\s*购\\s*人[：:]\\s*(.+?)(?=[，。,\\n]|$)"],
+    "代理机构": ["(.+?)[（(]招标代理机构[）)]", "代理机构[：:]\\s*(.+?)(?=[，。,\\n]|$)", "招标代理[：:]\\s*(.+?)(?=[，。,\\n]|$)"],
+    "投标截止时间": ["投标截止[时日]间[：:]\\s*(.+?)(?:\\n|$)", "截止[时日][间期][：:]\\s*(.+?)(?:\\n|$)", "递交投标文件的截止时间[：:为]\\s*(.+?)(?:[。\\n]|$)", "截止时间[为：:]\\s*(.+?)(?=[。\\n，,]|$)"],
+    "开标时间": ["开标时间[为：:]\\s*(.+?)(?=[。\\n，,]|$)"],
+    "开标地点": ["开标地[点址][为：:]\\s*(.+?)(?=[。\\n，,]|$)"],
+    "联系人": ["联\\s*系\\s*人[：:]\\s*(.+?)(?:\\n|$)", "项目联系人[：:]\\s*(.+?)(?:\\n|$)"],
+    "联系电话": ["联系电话[：:]\\s*([\\d\\-]+)", "电\\s*话[：:]\\s*([\\d\\-]+)", "电话[为：:]\\s*([\\d\\-]+)"],
+    "项目概述": ["项目概[述说][：:]\\s*(.+?)(?=[。\\n])", "3\\s*[\\.、]\\s*项目概[述说][：:]\\s*(.+?)(?=[。\\n])"],
 }
 
 

@@ -77,3 +77,14 @@ def zipped(df: DataFrame, id_col: str, left: str, right: str, missing: str = "
     part = lambda x, i: F.coalesce(F.nullif(F.get(x, i), F.lit("")), F.lit(missing))
     pairs = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct((i + 1).alias("pos"), part(a, i).alias("left_value"), part(b, i).alias("right_value")))
     return df.filter(F.trim(F.coalesce(F.col(left), F.lit(""))) != "").select(F.col(id_col).alias("id"), F.explode(pairs).alias("p")).select("id", "p.pos", "p.left_value", "p.right_value")
+
+
+def update_known(base: DataFrame, new: DataFrame, key: str, now: Column) -> DataFrame:
+    """`upsert` with those rows of new only whose key base has."""
+    return upsert(base, new.join(base.select(key), key, "left_semi"), key, now)
+
+
+def pending_of_day(df: DataFrame, day: Column) -> DataFrame:
+    """Rows of a day that wait for their audit and have an address, the first of each address."""
+    d = df.filter((F.trim("audit_status") == "待审核") & (F.to_date("created_at") == day) & (F.trim(F.coalesce("detail_url", F.lit(""))) != ""))
+    return d.groupBy("detail_url").agg(F.min("id").alias("id"))

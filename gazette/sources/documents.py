@@ -91,3 +91,31 @@ def has_columns(df: DataFrame, *names: str) -> list[str]:
 def table_scan(spark: SparkSession, name: str | None = None, **jdbc: str) -> DataFrame:
     """A catalog table, or one over JDBC (url, dbtable, and for parallel reads partitionColumn, bounds, numPartitions)."""
     return spark.table(name) if name else spark.read.format("jdbc").options(**jdbc).load()
+
+
+PENDING_SEND = "token string, digest_date string, title string, description string, card_url string, disclose_page_url string, generated_at string, pipeline_note string"
+
+
+def pending_send(spark: SparkSession, path: str) -> DataFrame:
+    """The document of what waits to be sent; no row if its token is not well formed."""
+    return spark.read.schema(PENDING_SEND).option("multiLine", True).json(path).filter(F.col("token").rlike(TOKEN))
+
+
+def tokens(spark: SparkSession, root: str) -> DataFrame:
+    """The distinct tokens of the packs under a folder."""
+    return manifests(spark, root).select("token").distinct()
+
+
+def workbook(path: str):
+    """A lead list in a workbook, as pandas reads it: only where a reader of workbooks is installed."""
+    import pandas as pd
+
+    return pd.read_excel(path, dtype=str)
+
+
+def failed_by_url(docs: DataFrame, marks: list[str]) -> DataFrame:
+    """url, files, keywords of documents whose content holds a mark of failure, one row per url."""
+    from gazette.functions.rules import any_of
+
+    d = docs.filter(any_of(F.col("content"), marks) & (F.trim(F.coalesce("url", F.lit(""))) != ""))
+    return d.groupBy("url").agg(F.sort_array(F.collect_set("file")).alias("files"), F.sort_array(F.collect_set("keyword")).alias("keywords"))

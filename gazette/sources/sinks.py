@@ -68,3 +68,33 @@ def replace_partition(df: DataFrame, path: str, column: str) -> None:
 def append_new(base: DataFrame, rows: DataFrame, key: str) -> DataFrame:
     """base with those of the rows whose key it doesn't have, missing columns NULL."""
     return base.unionByName(rows.dropDuplicates([key]).join(base.select(key), key, "left_anti"), allowMissingColumns=True)
+
+
+def replace_table(df: DataFrame, path: str) -> None:
+    """Overwrite a table as a whole, as an import of a confirmed list does."""
+    df.write.mode("overwrite").parquet(path)
+
+
+def repack(packs: DataFrame, root: str) -> None:
+    """Write packs again under the tokens they have: one document each; other packs stay."""
+    packs.select("digest_date", "generated_at", "items", "token").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("token").json(root)
+
+
+def summary_page(df: DataFrame, title: str, columns: list[str], most: int = 1000) -> str:
+    """A page with a table of the first rows of df; more than `most` rows are an error, as a page is read by people."""
+    rows = df.select(*[escaped(F.coalesce(F.col(c).cast("string"), F.lit(""))).alias(c) for c in columns]).limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} rows for one page")
+    body = "".join("<tr>" + "".join(f"<td>{x}</td>" for x in r) + "</tr>" for r in rows)
+    head = "".join(f"<th>{c}</th>" for c in columns)
+    return f'<!DOCTYPE html><html><head><meta charset="utf-8"><title>{title}</title></head><body><table><tr>{head}</tr>{body}</table></body></html>'
+
+
+def trace(df: DataFrame, event: str, now: Column, path: str) -> None:
+    """Append every row of df as a JSON event with its time."""
+    df.select(F.lit(event).alias("event"), now.cast("string").alias("at"), F.to_json(F.struct(*df.columns)).alias("data")).write.mode("append").json(path)
+
+
+def migrated(df: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """df with those of the columns (name: type) that it lacks, as NULL."""
+    return df.withColumns({c: F.lit(None).cast(t) for c, t in columns.items() if c not in df.columns})
