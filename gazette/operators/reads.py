@@ -44,10 +44,17 @@ def tokens_per_read(r: DataFrame) -> DataFrame:
 
 
 def outside(reads: DataFrame, dispatch: DataFrame, routes: DataFrame) -> DataFrame:
-    """Reads by people who are on no route: without a token, or without a route for token, record and reader."""
-    r = reads.join(dispatch.select("dispatch_id", F.lower(F.trim("digest_token")).alias("token")), "dispatch_id", "left").withColumn("token", F.coalesce("token", F.lit("")))
-    on = routes.select("token", "record_id", F.col("user").alias("reader_userid"), F.lit(1).alias("on")).distinct()
-    return r.join(on, ["token", "record_id", "reader_userid"], "left").filter("token = '' or on is null").drop("on")
+    """Reads by people who are on no route: without a token, or without a route for token, record and reader.
+
+    routes: record_id, user.  A route of token, record and reader is one of record and reader whose reader is a receiver of the
+    token, so both are looked up by themselves: the records of a user are never paired with the tokens of that user.
+    """
+    d = dispatch.select("dispatch_id", F.lower(F.trim("digest_token")).alias("token"), "receiver_userid")
+    r = reads.join(d.select("dispatch_id", "token"), "dispatch_id", "left").withColumn("token", F.coalesce("token", F.lit("")))
+    sent = d.select("token", F.col("receiver_userid").alias("reader_userid"), F.lit(1).alias("sent")).distinct()
+    on = routes.select("record_id", F.col("user").alias("reader_userid"), F.lit(1).alias("on")).distinct()
+    r = r.join(sent, ["token", "reader_userid"], "left").join(on, ["record_id", "reader_userid"], "left")
+    return r.filter("token = '' or sent is null or on is null").drop("sent", "on")
 
 
 def top_readers(reads: DataFrame, n: int) -> DataFrame:

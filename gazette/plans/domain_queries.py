@@ -505,7 +505,7 @@ def read_group_count(spark, sf):
 )
 def read_outside(spark, sf):
     log, dispatch = _log(spark, sf)
-    routes = route_items(spark, sf).select("record_id", F.col("user_account").alias("user")).join(dispatch.select(F.lower(F.trim("digest_token")).alias("token"), F.col("receiver_userid").alias("user")).distinct(), "user")
+    routes = route_items(spark, sf).select("record_id", F.col("user_account").alias("user"))
     return reads.outside(log, dispatch, routes).select("id", "record_id", "reader_userid", "token")
 
 

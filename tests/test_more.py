@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gazette.functions import html, rules, titles
-from gazette.operators import cascade, forward, review, routing
+from gazette.operators import cascade, forward, reads, review, routing
 from gazette.session import cut, remove
 from gazette.sources import documents, sinks
 
@@ -120,3 +120,17 @@ print(len(e.queries()) > 90)
 """
     run = lambda name: subprocess.run([sys.executable, "-c", code.replace("NAME", repr(name))], capture_output=True, text=True)
     assert run("gazette.llm").stdout.strip() == "True" and "ModuleNotFoundError" in run("regex").stderr
+
+
+def test_outside_pairs_no_records_with_tokens(spark):
+    """A receiver of many tokens with many routes: the reads alone are looked up, and the rows are those of the triples."""
+    n, logs = 20_000, "id long, dispatch_id string, record_id long, reader_userid string"
+    disp = spark.range(n).select(F.concat(F.lit("D"), "id").alias("dispatch_id"), F.concat(F.lit(" T"), "id").alias("digest_token"), F.lit("u1").alias("receiver_userid"))
+    routes = spark.range(n).select(F.col("id").alias("record_id"), F.lit("u1").alias("user"))
+    rows = [(1, "D1", 5, "u1"), (2, "D1", 5, "u2"), (3, "D1", n, "u1"), (4, "D9999999", 5, "u1"), (5, None, 5, "u1"), (6, "D2", None, "u1"), (7, "D2", 5, None), (1, "D1", 5, "u1"), (8, f"D{n - 1}", n - 1, "u1")]
+    out = reads.outside(spark.createDataFrame(rows, logs), disp, routes)
+    assert {(r["id"], r["token"]) for r in out.collect()} == {(2, "t1"), (3, "t1"), (4, ""), (5, ""), (6, "t2"), (7, "t2")}
+    small = disp.filter("dispatch_id in ('D1', 'D2', 'D3')").unionByName(disp.filter("dispatch_id = 'D1'").withColumns({"dispatch_id": F.lit("X1"), "receiver_userid": F.lit("u2")}))
+    r2 = spark.createDataFrame([(5, "u1"), (5, "u2"), (6, "u1"), (6, "u1")], "record_id long, user string")
+    got = sorted(r["id"] for r in reads.outside(spark.createDataFrame([(1, "D1", 5, "u1"), (2, "D1", 5, "u2"), (3, "D2", 5, "u2"), (4, "D3", 6, "u1"), (5, "X1", 6, "u2")], logs), small, r2).collect())
+    assert got == [3, 5]
