@@ -118,6 +118,20 @@ def test_scan_rows(spark):
     assert got <= {(902, "ocr")} and scan.repaired(d).count() == len(rows) and scan.damage(d.limit(0)).count() == 0
 
 
+def test_scan_learns_from_all_rows(spark):
+    """Words, characters and contexts are counted over all clean texts, whatever the shards."""
+    texts = clean_texts(1500, seed=1) + [t.replace("middleware", "orchestrator") for t in clean_texts(6000, seed=2)]
+    d = spark.createDataFrame(list(enumerate(texts)), "id long, detail string")
+    model, same = scan.train(d), scan.ScanModel(texts)
+    assert model.reader.words == same.reader.words and model.joiner.words == same.joiner.words and model.joiner.w == same.joiner.w
+    assert (model.reader.chars == same.reader.chars).all() and (model.reader.seen == same.reader.seen).all() and np.allclose(model.reader.w, same.reader.w)
+    # one shard or many: the same repairs
+    bad = [t.replace("供应商每年应", "洪应商每年庄", 1).replace("本项目", "夲项目", 1) for t in clean_texts(40, seed=5)]
+    assert model.repair(bad) == scan.train(d, shard=60).repair(bad) and all(k == ["ocr"] for t, (_, k) in zip(bad, model.repair(bad)) if "夲" in t or "洪" in t)
+    got = scan.evidence(texts, model.joiner)
+    assert sum(got["char"].values()) >= sum(map(len, texts)) and len({r["key"] for r in spark.createDataFrame([(k,) for k in got["place"]], "key string").collect()}) == len(got["place"])
+
+
 # ---------------------------------------------------------------- problem 4
 
 REFERENCE = [("翡澳银行", ["翡行"]), ("砚崖农村信用社联合社", []), ("珞屿银行股份有限公司", ["珞屿银行"]), ("芷洲证券", []), ("焱坳金融租赁", []), ("Hadrelle Bank (China)", ["HadreB"])]
