@@ -42,6 +42,16 @@ def test_mixture_flags_a_unit_that_does_not_fit(spark):
     assert len(a) == 40 and all(r["uncertain"] and r["fitted_unit"] == "万元" and r["unit"] == "元" for r in a)
 
 
+def test_amounts_are_stated_without_a_model(spark, monkeypatch):
+    """No mixture is fitted where only amounts are asked for, and the mixture changes none."""
+    rows = [(i, f"{150 + i}.5|{i}万元", None, "单位：万元" if i % 2 else "") for i in range(40)]
+    d = spark.createDataFrame(rows, "id long, project_budget string, winning_amount string, detail string")
+    cols = ["id", "field", "item_no", "raw", "unit", "amount_fen"]
+    judged = sorted(units.amounts(d).select(*cols).collect(), key=str)
+    monkeypatch.setattr(units.UnitMixture, "fit", lambda *_: 1 / 0)
+    assert sorted(units.stated(d).select(*cols).collect(), key=str) == judged and judged
+
+
 def test_figures_of_any_length(spark):
     """Amounts that a bigint of fen holds are exact; longer figures give no row and end no job."""
     raw = ["9" * n for n in range(13, 41)] + ["9" * 12 + "万元", "8" * 30 + "亿元", "7" * 16 + "亿3万元", "0.123456789元", "1e5"]
