@@ -19,18 +19,17 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gazette.operators.sampling import bounded_sample
 from gazette.operators.units import let
 from gazette.session import cut, remove
 
-TRAIN_TEXTS = 4000
+MOST_KEYS = 1_000_000  # different pairs that a task gathers before it hands them on
 SMALL = 200_000  # rows up to which a counted side is broadcast
 #: chain: (what it was decoded with, what it is), the last step first
 CHAINS = {
@@ -106,28 +105,55 @@ def undo(text: str, chain: str) -> str | None:
     return text
 
 
+BITS = 21  # of a code point
+DOCS = 1 << 2 * BITS  # added to a character: its count is that of the texts that have it
+_DIGITS = set("123456789")
+
+
+def _tally(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(different keys, the sum of the counts of each)."""
+    got, at = np.unique(keys, return_inverse=True)
+    total = np.zeros(len(got), np.int64)
+    np.add.at(total, at, n)
+    return got, total
+
+
+def counted(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(pairs of neighbours, digits as one, and characters + DOCS; how often the pair stands, how many texts have the character)."""
+    codes = np.frombuffer("\n".join(["", *texts, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
+    codes = np.where((codes >= 49) & (codes <= 57), np.uint32(48), codes)
+    if len(codes) and codes.max() < 0x10000:  # half as wide, sorted sooner
+        pairs, n = np.unique((codes[:-1] << np.uint32(16)) | codes[1:], return_counts=True)
+        pairs = (pairs.astype(np.int64) >> 16 << BITS) | (pairs & np.uint32(0xFFFF))
+    else:
+        pairs, n = np.unique((codes[:-1].astype(np.int64) << BITS) | codes[1:], return_counts=True)
+    df: Counter[str] = Counter()
+    for t in texts:
+        have = set(t)
+        df.update(have if _DIGITS.isdisjoint(have) else (have - _DIGITS) | {"0"})
+    return np.concatenate([pairs, np.array([ord(c) + DOCS for c in df], np.int64)]), np.concatenate([n, np.array(list(df.values()), np.int64)])
+
+
 class CharModel:
     """Interpolated character bigrams of clean text."""
 
-    def __init__(self, texts: list[str], vocabulary: int = 25_000, common: float = 0.002):
-        uni, bi = Counter(), Counter()
-        df = Counter()
-        for t in texts:
-            for line in t.split("\n"):
-                s = "\n" + _digits(line) + "\n"
-                uni.update(s[1:])
-                bi.update(zip(s, s[1:]))
-            df.update(set(_digits(t)))
-        n = sum(uni.values()) or 1
+    def __init__(self, keys: np.ndarray, n: np.ndarray, texts: int, vocabulary: int = 25_000, common: float = 0.002):
+        """From what `counted` finds in so many texts."""
+        docs = keys >= DOCS
+        keys, n, chars, k = keys[~docs], n[~docs], keys[docs] - DOCS, n[docs]
+        first, second = keys >> BITS, keys & (1 << BITS) - 1
+        total = n.sum() or 1
         self.floor = math.log(0.02 / vocabulary)
-        self.uni = {c: 0.18 * k / n for c, k in uni.items()}
-        before = Counter()
-        for (a, _), k in bi.items():
-            before[a] += k
-        self.bi = {p: math.log(0.8 * k / before[p[0]] + self.uni.get(p[1], 0) + 0.02 / vocabulary) for p, k in bi.items()}
+        ends, at = np.unique(second, return_inverse=True)
+        share = 0.18 * np.bincount(at, weights=n) / total if len(n) else np.zeros(0)
+        self.uni = {chr(c): x for c, x in zip(ends.tolist(), share.tolist())}
+        _, of = np.unique(first, return_inverse=True)
+        before = np.bincount(of, weights=n)[of] if len(n) else n
+        logs = np.log(0.8 * n / before + (share[at] if len(n) else 0) + 0.02 / vocabulary)
+        self.bi = {(chr(a), chr(b)): x for a, b, x in zip(first.tolist(), second.tolist(), logs.tolist())}
         self.one = {c: math.log(x + 0.02 / vocabulary) for c, x in self.uni.items()}
-        often = max(2, len(texts) * common)
-        self.common = {c for c, k in df.items() if k >= often} | set("0123456789")
+        often = max(2, texts * common)
+        self.common = {chr(c) for c in chars[k >= often].tolist()} | set("0123456789")
 
     def score(self, text: str) -> float:
         s = "\n" + _digits(text) + "\n"
@@ -228,27 +254,78 @@ def garble_signs(model: CharModel, top: int = 400) -> str:
     return "".join(sorted(c for c in signs if c not in model.common and c > "\x7f"))
 
 
-def train(df: DataFrame, fields: list[str], texts: int = TRAIN_TEXTS) -> CharModel:
-    """A model of clean text from at most `texts` values of each field without a hard sign of garbling, by hash order."""
-    got: list[str] = []
-    total = df.count()
-    for f in fields:
-        c = F.col(f)
-        clean = df.filter(c.rlike("\\S") & ~c.rlike(HARD) & (F.char_length(c) < 4000)).select(c.alias("t"), F.concat_ws("\n", c, *[F.col(x).cast("string") for x in df.columns if x not in fields][:1]).alias("k"))
-        got += [r["t"] for r in bounded_sample(clean, F.col("k"), texts, rows=total).collect()]
-    return purified(got)
+def _garbled(texts: list[str], signs: np.ndarray) -> list[tuple[str, str]]:
+    """(text, text without those lines that consist of what garbling makes) of the texts that have such lines."""
+    codes = np.frombuffer("\n".join([*texts, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
+    ends = np.nonzero(codes == 10)[0]
+    if not len(ends):
+        return []
+    begin = np.concatenate([[0], ends[:-1] + 1])
+    wide, odd = (np.add.reduceat(x, begin, dtype=np.int64) for x in (codes > 0x7F, signs[codes]))
+    bad = odd > 0.4 * wide
+    out, at = [], 0
+    lines = np.concatenate([[0], np.cumsum([t.count("\n") + 1 for t in texts])])
+    for i in np.unique(np.searchsorted(lines, np.nonzero(bad)[0], side="right") - 1):
+        at = lines[i]
+        out.append((texts[i], "\n".join(x for k, x in enumerate(texts[i].split("\n")) if not bad[at + k])))
+    return out
 
 
-def purified(texts: list[str]) -> CharModel:
-    """A model of the texts without those lines that consist of what garbling makes of frequent characters."""
-    first = CharModel(texts, common=0.015)
-    signs = set(garble_signs(first))
+def _without(texts: list[str], signs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What `counted` has to be changed by if the garbled lines are left out."""
+    pairs = _garbled(texts, signs)
+    old, new = counted([a for a, _ in pairs]), counted([b for _, b in pairs])
+    return _tally(np.concatenate([old[0], new[0]]), np.concatenate([-old[1], new[1]]))
 
-    def garbled(line: str) -> bool:
-        wide = [c for c in line if c > "\x7f"]
-        return sum(c in signs for c in wide) > 0.4 * len(wide)
 
-    return CharModel(["\n".join(x for x in t.split("\n") if not garbled(x)) for t in texts])
+def _signs(model: CharModel) -> np.ndarray:
+    out = np.zeros(0x110000, bool)
+    out[[ord(c) for c in garble_signs(model)]] = True
+    return out
+
+
+def _sums(d: DataFrame, count: Callable[[list[str]], tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, int]:
+    """(keys, their sums, the number of texts) of what `count` finds in all texts t of d."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        keys, n, texts = np.zeros(0, np.int64), np.zeros(0, np.int64), 0
+        for b in batches:
+            for lo in range(0, len(b), 2000):
+                part = list(b["t"].iloc[lo : lo + 2000])
+                k, m = count(part)
+                keys, n = _tally(np.concatenate([keys, k]), np.concatenate([n, m]))
+                texts += len(part)
+            if len(keys) > MOST_KEYS:
+                yield pd.DataFrame({"key": keys, "n": n})
+                keys, n = keys[:0], n[:0]
+        yield pd.DataFrame({"key": np.append(keys, -1), "n": np.append(n, texts)})
+
+    got = d.mapInPandas(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).filter("n <> 0").toPandas()
+    key, n = got["key"].to_numpy(np.int64), got["n"].to_numpy(np.int64)
+    order = np.argsort(key)
+    key, n = key[order], n[order]
+    return key[key >= 0], n[key >= 0], int(n[key < 0].sum())
+
+
+def train(df: DataFrame, fields: list[str]) -> CharModel:
+    """A model of all values of the fields without a hard sign of garbling; what reaches the driver are counts of pairs and characters."""
+    texts = df.select(F.explode(F.array(*[F.col(f) for f in fields])).alias("t"))
+    clean = texts.filter(F.col("t").rlike("\\S") & ~F.col("t").rlike(HARD))
+    keys, n, total = _sums(clean, counted)
+    signs = _signs(CharModel(keys, n, total, common=0.015))
+    less = _sums(clean, lambda t: _without(t, signs))
+    return _model(keys, n, less, total)
+
+
+def _model(keys: np.ndarray, n: np.ndarray, less: tuple, total: int) -> CharModel:
+    keys, n = _tally(np.concatenate([keys, less[0]]), np.concatenate([n, less[1]]))
+    return CharModel(keys[n > 0], n[n > 0], total)
+
+
+def purified(texts: list[str]) -> CharModel:
+    """A model of the texts without those lines that consist of what garbling makes of frequent characters."""
+    keys, n = counted(texts)
+    return _model(keys, n, _without(texts, _signs(CharModel(keys, n, len(texts), common=0.015))), len(texts))
 
 
 def suspicious(df: DataFrame, id_col: str, fields: list[str], source: Column, model: CharModel) -> DataFrame:

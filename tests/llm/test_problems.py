@@ -262,6 +262,15 @@ def test_encoding_reads_words_of_rare_characters(spark):
     assert len(read) >= 0.99 * len(rows)
 
 
+def test_encoding_learns_from_all_rows(spark):
+    """The model is that of all values, as many and as long as they are."""
+    texts = [f"{t}附注{chr(0x4E00 + i)}。" for i, t in enumerate(clean_texts(4100))] + ["很长的公告，" * 900 + "鱷魚。", garble("一行乱码的公告文字", "gbk_as_big5") + "\n另一行。"]
+    d = spark.createDataFrame([(i, t, None) for i, t in enumerate(texts)], "id long, detail string, keyword string").repartition(3)
+    model, whole = encoding.train(d, ["detail", "keyword"]), encoding.purified(texts)
+    assert model.bi == whole.bi and model.one == whole.one and model.common == whole.common
+    assert all(("注", chr(0x4E00 + i)) in model.bi for i in range(4100)) and ("鱷", "魚") in model.bi
+
+
 def test_encoding_rows(spark):
     rows = [(i, t, "银行", "s1") for i, t in enumerate(clean_texts(200))]
     rows += [(500, garble(clean_texts(1)[0], "utf8_as_latin1"), "银行", "s1"), (501, clean_texts(1)[0], garble("银行", "utf8_as_cp1252"), None), (502, None, None, "s2"), (503, "", " ", "s2"), (504, clean_texts(1)[0].replace("联系人：甲先生", garble("联系人：甲先生", "utf8_as_gbk")), "naïve 系统", "s2")]
