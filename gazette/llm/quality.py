@@ -6,9 +6,9 @@ is described by distributions: its character classes, its function words (common
 navigation words, the rest), and its basic counts (`COUNTS`: sentence ends, item mark and length, columns, repetition,
 random tokens, symbols, markup, units in the text), each of which is a distribution over a few bins.  The unit gets the
 nearest of the structural profiles: the least sum of Jensen-Shannon divergences, every distribution counted once and none
-weighted by hand.  Profiles are the mean distributions of prose, lists, tables and kinds of junk in a bounded sample of
-SAMPLE texts, where unmistakable units (by their form) stand for their kind.  A document has the kind that most of its
-characters have.
+weighted by hand.  Profiles are the mean distributions of prose, lists, tables and kinds of junk over all texts of the
+table (equal texts count once), where unmistakable units (by their form) stand for their kind; Spark sums them up.  A
+document has the kind that most of its characters have.
 
 All units of a batch are described at once: code points in one array, classes by table, histograms by one bincount,
 words by one pass of a pattern over the batch, divergences as one matrix.
@@ -28,9 +28,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gazette.operators.sampling import bounded_sample
+from gazette.session import cut, remove
 
-SAMPLE = 4000
+STEP = 2000  # texts that are described at once in training
+POINT = 1 << 30  # shares are summed as whole numbers of this fraction: the same sum in any order
 CACHE = 100_000  # units kept per task
 CACHED = 80  # characters: longer units hardly recur
 MOST_WORDS = 100_000
@@ -226,36 +227,85 @@ def _distinct_fours(codes: np.ndarray, unit: np.ndarray, n: np.ndarray) -> np.nd
 
 
 class Profiles:
-    def __init__(self, texts: list[str], words: Words):
+    def __init__(self, texts: list[str] | None, words: Words):
         self.words = words
         self.zh, self.nav = Lexicon(words.zh), Lexicon(NAVIGATION)
         self.longest = max(map(len, words.en), default=0)
         own = [_codes(w) for w in words.en]
         self.en = np.array([_word_keys(c, np.array([0]), np.array([len(c)]), self.longest)[0] for c in own], np.uint64)
-        han: Counter[str] = Counter()
-        for t in texts:
-            if any(s in t for s in "。！？") and self.zh.covered(_codes(t)).sum() > 0.08 * len(t):
-                han.update({c for c in set(t) if "一" <= c <= "鿿"})
-        often = max(2, 0.002 * len(texts))
-        common = {c for c, n in han.items() if n >= often} or set(han)
-        self.table = np.array([_class(chr(c), common) if not 0xD800 <= c < 0xE000 else 9 for c in range(0x10000)], np.uint8)
         self.symbol = np.array([bool(SYMBOL.match(chr(c))) for c in range(0x10000)])
         self.cache: dict[str, np.ndarray] = {}
-        us, at = units(texts)
-        f = self.describe(us) if us else None
-        siblings = np.bincount(at, minlength=len(texts))[at] if us else at
-        seed = self._seeds(us, at, f, siblings) if us else at
-        self.kinds = [k for i, k in enumerate(KINDS) if (seed == i).sum() >= 3]
-        mean = lambda x, k: x[seed == KINDS.index(k)].mean(0)
+        self.kinds: list[str] = []
         self.p: dict[str, np.ndarray] = {}
+        if texts is not None:  # texts at hand; `train` learns from a table
+            self.know(self.han(texts), len(texts)).learn(self.sums(texts))
+
+    def han(self, texts: list[str]) -> Counter[str]:
+        """In how many Chinese texts with sentences each Chinese character stands."""
+        some = [t for t in texts if any(s in t for s in "。！？")]
+        out: Counter[str] = Counter()
+        if some:
+            n = np.array([len(t) for t in some])
+            words = np.add.reduceat(self.zh.covered(_codes("\n".join([*some, ""]))), np.concatenate([[0], np.cumsum(n + 1)[:-1]]), dtype=np.int64)
+            for i in np.nonzero(words > 0.08 * n)[0]:
+                out.update({c for c in set(some[i]) if "一" <= c <= "鿿"})
+        return out
+
+    def know(self, han: dict[str, int], texts: int) -> "Profiles":
+        """Takes the counts of `han` in so many texts."""
+        often = max(2, 0.002 * texts)
+        common = {c for c, n in han.items() if n >= often} or set(han)
+        self.table = np.array([_class(chr(c), common) if not 0xD800 <= c < 0xE000 else 9 for c in range(0x10000)], np.uint8)
+        return self
+
+    @staticmethod
+    def _places() -> dict[str, slice]:
+        """Where each distribution stands in a row of `sums`, behind the number of units."""
+        out, at = {}, 1
+        for name, k in {"classes": len(CLASSES), "words": 4, **{k: len(v) + 1 for k, v in COUNTS.items()}}.items():
+            out[name] = slice(at, at + k)
+            at += k
+        return out
+
+    def sums(self, texts: list[str]) -> np.ndarray:
+        """Of the unmistakable units of each kind, and in the last row of all units: their number, and the sum of each of
+        their distributions."""
+        places = self._places()
+        out = np.zeros((len(KINDS) + 1, 1 + sum(x.stop - x.start for x in places.values())), np.int64)
+        us, at = units(texts)
+        if not us:
+            return out
+        place: dict[str, int] = {}
+        of = np.array([place.setdefault(u, len(place)) for u in us])  # equal units are described once
+        f = self.describe(list(place))
+        shares, bins = self._distributions(f)
+        siblings = np.bincount(at, minlength=len(texts))[at]
+        seed = self._seeds(us, at, {k: x[of] for k, x in f.items()}, siblings)
+        one = np.zeros((len(place), out.shape[1]), np.int64)
+        one[:, 0] = 1
+        for name, x in {**shares, **{k: np.eye(len(COUNTS[k]) + 1)[x] for k, x in bins.items()}}.items():
+            one[:, places[name]] = np.rint(x * POINT)
+        many = np.rint(self._one_hot("units", siblings) * POINT).astype(np.int64)
+        for k in range(len(out)):
+            some = seed == k if k < len(KINDS) else np.ones(len(us), bool)
+            times = np.bincount(of[some], minlength=len(place))
+            out[k] = times[times > 0] @ one[times > 0]
+            out[k, places["units"]] = many[some].sum(0)
+        return out
+
+    def learn(self, total: np.ndarray) -> "Profiles":
+        """Takes the profiles from the `sums` of all texts."""
+        places, n = self._places(), total[:, 0]
+        self.kinds = [k for i, k in enumerate(KINDS) if n[i] >= 3]
         if self.kinds:
-            shares, bins = self._distributions(f)
-            for name, x in {**shares, **{k: np.eye(len(COUNTS[k]) + 1)[x] for k, x in bins.items()}}.items():
-                self.p[name] = np.array([mean(x, k) for k in self.kinds])
+            at = [KINDS.index(k) for k in self.kinds]
+            self.p = {name: total[at, x] / POINT / n[at][:, None] for name, x in places.items()}
             # how many units a text has tells rows and items from running text, whose kinds share one profile
-            rows, x = np.isin(seed, [KINDS.index(k) for k in ("list", "table")]), self._one_hot("units", siblings)
-            running = x[(seed >= 0) & ~rows].mean(0) if ((seed >= 0) & ~rows).any() else x.mean(0)
-            self.p["units"] = np.array([mean(x, k) if k in ("list", "table") else running for k in self.kinds])
+            rest = [i for i, k in enumerate(KINDS) if k not in ("list", "table")]
+            rest = rest if n[rest].sum() else [len(KINDS)]
+            running = total[rest, places["units"]].sum(0) / POINT / n[rest].sum()
+            self.p["units"] = np.array([x if k in ("list", "table") else running for k, x in zip(self.kinds, self.p["units"])])
+        return self
 
     @staticmethod
     def _bins(name: str, x: np.ndarray) -> np.ndarray:
@@ -405,13 +455,39 @@ def _common(common_words: DataFrame) -> list:
     return w
 
 
-def train(df: DataFrame, common_words: DataFrame, text: str = "text", sample: int = SAMPLE) -> Profiles:
+def train(df: DataFrame, common_words: DataFrame, text: str = "text") -> Profiles:
+    """Profiles of all different texts; what reaches the driver are the counts of characters and the sums of each kind."""
     w = _common(common_words)
-    words = Words([r["word"] for r in w if r["lang"] == "zh"], [r["word"] for r in w if r["lang"] != "zh"])
-    c = F.col(text)
-    texts = df.filter(c.rlike("\\S") & (F.char_length(c) < 8000)).select(c.alias("t"))
-    rows = bounded_sample(texts, F.col("t"), sample, rows=df.count(), distinct=True).collect()
-    return Profiles([r["t"] for r in rows], words)
+    model = Profiles(None, Words([r["word"] for r in w if r["lang"] == "zh"], [r["word"] for r in w if r["lang"] != "zh"]))
+    texts = cut(df.filter(F.col(text).rlike("\\S")).select(F.col(text).alias("t")).distinct(), "texts")
+
+    def steps(batches: Iterator[pd.DataFrame]) -> Iterator[list[str]]:
+        for b in batches:
+            for lo in range(0, len(b), STEP):
+                yield list(b["t"].iloc[lo : lo + STEP])
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        han: Counter[str] = Counter()
+        n = 0
+        for part in steps(batches):
+            han.update(model.han(part))
+            n += len(part)
+        yield pd.DataFrame({"key": [*han, ""], "n": [*han.values(), n]})
+
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = model.sums([])
+        for part in steps(batches):
+            total += model.sums(part)
+        at = np.nonzero(total.ravel())[0]
+        yield pd.DataFrame({"key": at, "n": total.ravel()[at]})
+
+    han = {r["key"]: r["n"] for r in texts.mapInPandas(count, "key string, n long").groupBy("key").agg(F.sum("n").alias("n")).collect()}
+    model.know({c: n for c, n in han.items() if c}, han.get("", 0))
+    total = model.sums([])
+    for r in texts.mapInPandas(add, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).collect():
+        total.ravel()[r["key"]] = r["n"]
+    remove(texts)
+    return model.learn(total)
 
 
 def judged(df: DataFrame, common_words: DataFrame, id_col: str = "doc_id", text: str = "text", model: Profiles | None = None) -> DataFrame:

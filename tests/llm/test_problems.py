@@ -473,6 +473,16 @@ def test_quality_kinds(words):
     assert model.judge(mixed)[0] is None and [model.judge(x)[0] for x in (None, "", " \n ")] == [None] * 3
 
 
+def test_quality_learns_from_all_rows(spark, words):
+    """The profiles are those of all different texts, as many and as long as they are."""
+    texts = [f"{t}\n{chr(0x4E00 + i)}号文件。" for i, (t, _) in enumerate(corpus(4) * 20)] + ["".join(SENTENCES) * 200, *("<b class='k'></b><i class='%d'></i>" % i for i in range(3))]
+    d = spark.createDataFrame([(i, t) for i, t in enumerate(texts + texts[:500])], "doc_id long, text string").repartition(3)
+    cw = spark.createDataFrame([(w, "zh") for w in words.zh] + [(w, "en") for w in words.en], "word string, lang string")
+    model, whole = quality.train(d, cw), quality.Profiles(texts, words)
+    assert len(texts) > 4000 and len(texts[-4]) > 8000 and model.kinds == whole.kinds
+    assert all((model.p[k] == whole.p[k]).all() for k in whole.p) and (model.table == whole.table).all()
+
+
 def test_quality_rows(spark, words):
     rows = [(i, t) for i, (t, _) in enumerate(corpus(3))] + [(900, None), (901, ""), (902, "x" * 70_000), (903, "a\r\nb.")]
     d = spark.createDataFrame(rows, "doc_id long, text string").withColumn("kind", F.lit(1))
