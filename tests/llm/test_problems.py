@@ -2,6 +2,7 @@ import base64
 import datetime as dt
 import os
 import random
+import re
 
 import numpy as np
 import pytest
@@ -10,6 +11,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from gazette.llm import encoding, history, mixing, names, quality, residue, scan, tokens, truncation
+from gazette.session import cut
 
 TOKENIZERS = tokens.FOLDER
 
@@ -118,6 +120,50 @@ def test_scan_rows(spark):
     assert got <= {(902, "ocr")} and scan.repaired(d).count() == len(rows) and scan.damage(d.limit(0)).count() == 0
 
 
+def wrapped_token_by_token(text, rnd):
+    """What `scan._wrap` does, the slow way."""
+    width, hyphens = rnd.choice([36, 40, 44, 48, 52, 56, 60, 64, 72]), rnd.random() < 0.5
+    lines, todo = [], []
+    for para in text.split("\n"):
+        if not para.strip():
+            continue
+        cur, n = "", 0
+        for tok in re.findall(r"[A-Za-z]+|\s|.", para):
+            k = scan._width(tok)
+            if n + k > width and cur:
+                if hyphens and len(tok) > 5 and tok.isalpha() and tok.isascii() and width - n > 3:
+                    cut = max(2, width - n - 1)
+                    lines.append(cur + tok[:cut] + "-")
+                    todo.append(scan.DROP)
+                    cur, n = tok[cut:], len(tok) - cut
+                    continue
+                lines.append(cur.rstrip())
+                todo.append(scan.SPACE if cur.endswith(" ") or tok == " " else scan.JOIN)
+                cur, n = ("", 0) if tok == " " else (tok, k)
+                continue
+            cur, n = cur + tok, n + k
+        lines.append(cur)
+        todo.append(scan.KEEP)
+    return lines, todo
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(["中文", "，", "。", "word", "internationalization", "x" * 90, " ", "  ", "\u3000", "\t", "\n", "ŝ", "😀", "-", "12"]), max_size=120), st.integers(0, 50))
+def test_scan_wraps_as_token_by_token(parts, seed):
+    text = "".join(parts)
+    assert scan._wrap(text, random.Random(seed)) == wrapped_token_by_token(text, random.Random(seed))
+
+
+def test_scan_judges_clean_texts_once(spark, monkeypatch):
+    """The costly patterns of `_clean` are not run again for the words and for the evidence, but once, for a table that both read."""
+    plans = {}
+    monkeypatch.setattr(scan, "cut", lambda d, name="step": plans.setdefault(name, d) and cut(d, name))
+    d = spark.createDataFrame(list(enumerate(clean_texts(60))), "id long, detail string")
+    scan.train(d)
+    judged = {k: "{10,}" in x._jdf.queryExecution().optimizedPlan().toString() for k, x in plans.items()}
+    assert judged == {"clean": True, "words": False, "evidence": False}
+
+
 def test_scan_learns_from_all_rows(spark):
     """Words, characters and contexts are counted over all clean texts, whatever the shards."""
     texts = clean_texts(1500, seed=1) + [t.replace("middleware", "orchestrator") for t in clean_texts(6000, seed=2)]
